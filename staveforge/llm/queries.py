@@ -5,17 +5,47 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
+from .decontaminate import find_leaks
 from .minhash import near_duplicates
+from .mixing import mix
+from .sharding import shard
+
+
+def op2_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    cut = shard(docs.withColumn("text_crc32", crc), parts=8)
+    return cut.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op5_entropy_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    mixed = mix(docs, weights=(5.0, 2.0, 1.0), cap=3)
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
 def op6_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op8_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    marked = find_leaks(docs, table(spark, sf_dir, "benchmark"), window=10)
+    items = F.array_join(F.array_sort("leak.items"), ",")
+    return marked.select(
+        "doc_id", "leak.n_words", "leak.n_hit", F.size("leak.items").cast("long").alias("n_items"),
+        F.sha2(items.cast("binary"), 256).alias("items_sha256"), (F.col("leak.n_hit") > 0).alias("contaminated"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_histogram_sort": op2_histogram_sort,
+    "op5_entropy_balance": op5_entropy_balance,
     "op6_bbit_minhash": op6_bbit_minhash,
+    "op8_suffix_automaton": op8_suffix_automaton,
 }
 
 ORACLE_SQL: dict[str, str] = {}

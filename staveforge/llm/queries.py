@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
@@ -12,6 +12,7 @@ from .decontaminate import find_leaks
 from .minhash import near_duplicates
 from .mixing import mix
 from .sharding import shard
+from .toxicity import score, train
 
 
 def op2_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +22,17 @@ def op2_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+
+    def held(c: str) -> Column:
+        return F.crc32(F.col(c).cast("string").cast("binary")) % 3 == 1
+
+    model = train(docs, table(spark, sf_dir, "labels").where(~held("doc_id")))
+    scored = docs.select("doc_id", held("doc_id").alias("held_out"), score(F.col("text"), model, spark).alias("score"))
+    return scored.withColumn("predicted", F.when(F.col("score") >= 0.7, 1).otherwise(0))
+
+
 def op5_entropy_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     mixed = mix(docs, weights=(5.0, 2.0, 1.0), cap=3)
@@ -43,6 +55,7 @@ def op8_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_histogram_sort": op2_histogram_sort,
+    "op4_counterfactual_toxicity": op4_counterfactual_toxicity,
     "op5_entropy_balance": op5_entropy_balance,
     "op6_bbit_minhash": op6_bbit_minhash,
     "op8_suffix_automaton": op8_suffix_automaton,

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from . import media, warc
+from .common import Scratch, table
 from .decontaminate import find_leaks
 from .minhash import near_duplicates
 from .mixing import mix
@@ -43,6 +44,13 @@ def op6_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op7_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = Scratch(spark, "archives").folder("pages")
+    warc.write_archives(table(spark, sf_dir, "pages"), folder, revisit_from=0)
+    records = warc.read_records(warc.captures(spark, folder), folder, payloads=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     marked = find_leaks(docs, table(spark, sf_dir, "benchmark"), window=10)
@@ -53,12 +61,18 @@ def op8_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digests(media.store(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_histogram_sort": op2_histogram_sort,
     "op4_counterfactual_toxicity": op4_counterfactual_toxicity,
     "op5_entropy_balance": op5_entropy_balance,
     "op6_bbit_minhash": op6_bbit_minhash,
+    "op7_warc_index": op7_warc_index,
     "op8_suffix_automaton": op8_suffix_automaton,
+    "op10_iso_media": op10_iso_media,
 }
 
 ORACLE_SQL: dict[str, str] = {}

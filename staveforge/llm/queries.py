@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, warc
+from . import licenses, media, warc
 from .common import Scratch, table
 from .decontaminate import find_leaks
 from .minhash import near_duplicates
@@ -61,6 +61,10 @@ def op8_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "license.*")
+
+
 def op10_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(media.store(table(spark, sf_dir, "documents")))
 
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_bbit_minhash": op6_bbit_minhash,
     "op7_warc_index": op7_warc_index,
     "op8_suffix_automaton": op8_suffix_automaton,
+    "op9_license_rules": op9_license_rules,
     "op10_iso_media": op10_iso_media,
 }
 

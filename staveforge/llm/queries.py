@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, media, warc
+from . import licenses, media, quality, warc
 from .common import Scratch, table
 from .decontaminate import find_leaks
 from .minhash import near_duplicates
@@ -23,6 +23,13 @@ def op2_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    graded = docs.select("doc_id", quality.grade(F.col("text"), model, spark).alias("g"))
+    return graded.select("doc_id", F.col("g.expected").alias("expected_grade"), F.col("g.top").alias("top_probability"), (F.col("g.top") >= 0.5).alias("kept"))
+
+
 def op4_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
 
@@ -71,6 +78,7 @@ def op10_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_histogram_sort": op2_histogram_sort,
+    "op3_ordinal_quality": op3_ordinal_quality,
     "op4_counterfactual_toxicity": op4_counterfactual_toxicity,
     "op5_entropy_balance": op5_entropy_balance,
     "op6_bbit_minhash": op6_bbit_minhash,

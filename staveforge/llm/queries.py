@@ -10,12 +10,17 @@ from pyspark.sql import functions as F
 from . import licenses, media, quality, warc
 from .common import Scratch, table
 from .decontaminate import find_leaks
+from .lines import dedup_lines
 from .minhash import near_duplicates
 from .mixing import mix
 from .sharding import shard
 from .toxicity import score, train
 
 
+def op1_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents"))
+
+
 def op2_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
@@ -77,6 +82,7 @@ def op10_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_fuzzy_lines": op1_fuzzy_lines,
     "op2_histogram_sort": op2_histogram_sort,
     "op3_ordinal_quality": op3_ordinal_quality,
     "op4_counterfactual_toxicity": op4_counterfactual_toxicity,

@@ -167,3 +167,14 @@ def m1(t: Tables) -> DataFrame:
     p = AL.Parameters(onset_window=WINDOW, offset_window=WINDOW, min_onset=MIN_ONSET, min_rms=MIN_RMS, max_start_correction=0.4, max_end_correction=0.4)
     a = AL.align(t.notes, t.frames, p)
     return a.select("recording_id", "note_id", "alignment_action", *[F.round(c, 6).alias(c) for c in ("aligned_start_sec", "aligned_end_sec", "alignment_confidence")])
+
+
+@query("m4_refine_notes")
+def m4(t: Tables) -> DataFrame:
+    """Refined notes; tests hold the stages against scenarios and plain loops."""
+    from staveforge.operators import refine as R
+
+    p = R.Parameters(attack_lookback=0.6, max_attack_advance=0.6, merge_gap=0.3, max_merge_span=1.5, minimum_silence=0.3, tail_silence_hold=0.5, minimum_duration=0.2, gap_close=0.1, pitch_tolerance=12)
+    v = _valid(t).select("recording_id", "note_id", "pitch_midi", "start_sec", "end_sec", "confidence")
+    r = R.refine(v, t.frames, p)
+    return r.select("recording_id", "note_id", F.round("start_sec", 9).alias("start_sec"), F.round("end_sec", 9).alias("end_sec"), F.size("merged").alias("merged"), F.array_join("actions", ",").alias("actions"))

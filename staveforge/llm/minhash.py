@@ -26,7 +26,7 @@ from .components import components
 HASHES, BITS = 128, 4
 _LONGS = HASHES * BITS // 64
 #: Members of a bucket that meet at once in step 3.
-BLOCK = 512
+BLOCK = 256
 #: Standard deviations by which an estimate may lie below the threshold before a pair is dropped.
 SLACK = 4.5
 
@@ -93,16 +93,16 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, bands: int,
 
 
 def full_sets(docs: DataFrame, id_col: str, text_col: str, k: int, ids: DataFrame) -> DataFrame:
-    """(doc, shingles binary) of the documents in ids: the whole sorted set as little-endian longs."""
+    """(doc, shingles array<long>) of the documents in ids: the whole sorted set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in W.slices(batch, "text"):
-                sets = [s.tobytes() for s in shingle_sets(W.scan(part, "text", W.SPACED), k)]
-                yield pa.record_batch({"doc": part.column(0).cast(pa.int64()), "shingles": pa.array(sets, pa.binary())})
+                sets = [s.view(np.int64) for s in shingle_sets(W.scan(part, "text", W.SPACED), k)]
+                yield pa.record_batch({"doc": part.column(0).cast(pa.int64()), "shingles": pa.array(sets, pa.list_(pa.int64()))})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    return id_join(rows, ids, "doc").mapInArrow(run, "doc long, shingles binary")
+    return id_join(rows, ids, "doc").mapInArrow(run, "doc long, shingles array<long>")
 
 
 def agreeing(a: Column, b: Column) -> Column:
@@ -123,25 +123,15 @@ def least_agreeing(threshold: float) -> float:
     return HASHES * (p - SLACK * (p * (1 - p) / HASHES) ** 0.5)
 
 
-def similar(inter: int, a: int, b: int, percent: int) -> bool:
-    return 100 * inter >= percent * (a + b - inter)
-
-
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose full sets reach percent."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                s, t = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                lo, hi = sorted((len(s), len(t)))
-                keep.append(100 * lo >= percent * hi and similar(len(np.intersect1d(s, t, assume_unique=True)), len(s), len(t), percent))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
     left = sets.select(F.col("doc").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("doc").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    lo, hi = F.least(F.size("x"), F.size("y")), F.greatest(F.size("x"), F.size("y"))
+    both = pairs.join(left, "a").join(right, "b").where(lo * 100 >= hi * percent)
+    common = F.size(F.array_intersect("x", "y"))
+    return both.where(common * 100 >= (F.size("x") + F.size("y") - common) * percent).select("a", "b")
 
 
 def forest(doc: np.ndarray, label: np.ndarray, n: np.ndarray, sig: np.ndarray, sets: list[np.ndarray], percent: int, cross: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -199,7 +189,7 @@ def _search(members: DataFrame, percent: int) -> DataFrame:
         t = t.sort_by([("n", "ascending"), ("doc", "ascending")])
         doc, label, n, part = (t.column(c).to_numpy() for c in ("doc", "label", "n", "part"))
         sig = np.array(t.column("sig").to_pylist(), np.int64).view(np.uint64).reshape(-1, _LONGS)
-        sets = [np.frombuffer(x.as_buffer(), np.uint64) for c in t.column("shingles").chunks for x in c]
+        sets = [x.values.to_numpy().view(np.uint64) for c in t.column("shingles").chunks for x in c]
         first, second = t.column("i")[0].as_py(), t.column("j")[0].as_py()
         found = forest(doc, label, n, sig, sets, percent, None if first == second else part)
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})

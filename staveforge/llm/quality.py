@@ -138,11 +138,11 @@ def grade(text: Column, model: Model, spark) -> Column:
     """struct(expected, top): the expected grade, and the probability of the highest grade, of whole texts (null: empty)."""
     lit = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf(T.StructType([T.StructField("expected", T.DoubleType()), T.StructField("top", T.DoubleType())]))
-    def run(texts: pd.Series) -> pd.DataFrame:
-        part = pa.record_batch({"text": pa.array(texts, pa.string())})
+    @F.arrow_udf(T.StructType([T.StructField("expected", T.DoubleType()), T.StructField("top", T.DoubleType())]))
+    def run(texts: pa.Array) -> pa.Array:
+        part = pa.record_batch({"text": texts})
         z = [lit.value.logits(W.scan(x, "text", W.SPACED)) for x in W.slices(part, "text")]
         expected, top = lit.value.read(np.concatenate([*z, np.empty(0)]))
-        return pd.DataFrame({"expected": expected, "top": top})
+        return pa.StructArray.from_arrays([pa.array(expected), pa.array(top)], ["expected", "top"])
 
     return run(F.coalesce(text.cast("string"), F.lit("")))

@@ -215,11 +215,11 @@ def score(text: Column, model: Model, spark) -> Column:
     """The probability of the label for whole texts; null and empty texts get the model's base rate."""
     lit = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def run(texts: pd.Series) -> pd.Series:
-        part = pa.record_batch({"text": pa.array(texts, pa.string())})
+    @F.arrow_udf("double")
+    def run(texts: pa.Array) -> pa.Array:
+        part = pa.record_batch({"text": texts})
         z = [lit.value.logits(W.scan(x, "text", W.ALNUM)) for x in W.slices(part, "text")]
-        return pd.Series(1 / (1 + np.exp(-np.concatenate([*z, np.empty(0)]))))
+        return pa.array(1 / (1 + np.exp(-np.concatenate([*z, np.empty(0)]))))
 
     return run(F.coalesce(text.cast("string"), F.lit("")))
 

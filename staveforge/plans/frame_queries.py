@@ -33,12 +33,12 @@ def w1(t: Tables) -> DataFrame:
     return f.select("vec_id", "frame_index", F.round(F.aggregate("samples", F.lit(0.0), lambda a, v: a + v), 9).alias("total"))
 
 
-@query("w3_spectral_centroid", """WITH x AS (SELECT vec_id, list_transform(range(1, 65), lambda i: CAST(embedding[i] AS DOUBLE) * (0.5 - 0.5 * cos(2 * pi() * (i - 1) / 63))) AS y FROM embeddings WHERE vec_id < 200),
+@query("w3_spectral_centroid", """WITH x AS (SELECT vec_id, list_transform(range(1, 65), lambda i: CAST(embedding[i] AS DOUBLE) * (0.5 - 0.5 * cos(2 * pi() * (i - 1) / 63))) AS y FROM embeddings),
  m AS (SELECT vec_id, k, sqrt(pow(list_sum(list_transform(range(0, 64), lambda i: y[i + 1] * cos(i * k * (2 * pi() / 64)))), 2) + pow(list_sum(list_transform(range(0, 64), lambda i: y[i + 1] * sin(i * k * (2 * pi() / 64)))), 2)) AS a FROM x, range(33) r(k))
  SELECT vec_id, round(sum(k * a) / sum(a), 6) AS centroid FROM m GROUP BY 1""")
 def w3(t: Tables) -> DataFrame:
-    """Centroid, in bins, of the vectors below 200 (the bound is part of this report: a spectrum costs n squared steps here)."""
-    m = _pcm(t).where("vec_id < 200").select("vec_id", FR.magnitudes(F.col("signal"), 64).alias("m"))
+    """Centroid, in bins, of every vector."""
+    m = _pcm(t).select("vec_id", FR.magnitudes(F.col("signal"), 64).alias("m"))
     top = F.aggregate(F.transform("m", lambda a, k: a * k), F.lit(0.0), lambda a, v: a + v)
     return m.select("vec_id", F.round(top / F.aggregate("m", F.lit(0.0), lambda a, v: a + v), 6).alias("centroid"))
 
@@ -169,10 +169,10 @@ def w23(t: Tables) -> DataFrame:
     return FR.normalise_envelope(t.frames, "rms", REC, "e").select(*REC, "frame_index", F.round("e", 9).alias("env"))
 
 
-@query("j16_x6_prev_next_note", sql(", q AS (SELECT recording_id, frame_index, start_sec AS t FROM frames WHERE frame_index % 7 = 0) SELECT q.recording_id, frame_index, round((SELECT max(n.end_sec) FROM notes n WHERE n.recording_id = q.recording_id AND n.end_sec <= t), 9) AS prev_end, round((SELECT min(n.start_sec) FROM notes n WHERE n.recording_id = q.recording_id AND n.start_sec >= t), 9) AS next_start FROM q", "frames", "notes"))
+@query("j16_x6_prev_next_note", sql(", e AS (SELECT DISTINCT recording_id, end_sec FROM notes), s AS (SELECT DISTINCT recording_id, start_sec FROM notes) SELECT q.recording_id, q.frame_index, round(e.end_sec, 9) AS prev_end, round(s.start_sec, 9) AS next_start FROM frames q ASOF LEFT JOIN e ON e.recording_id = q.recording_id AND q.start_sec >= e.end_sec ASOF LEFT JOIN s ON s.recording_id = q.recording_id AND q.start_sec <= s.start_sec", "frames", "notes"))
 def j16(t: Tables) -> DataFrame:
-    """Backward and forward as-of against every seventh frame as a probe grid."""
-    q = t.frames.where("frame_index % 7 = 0").select(*REC, "frame_index", F.col("start_sec").alias("at"))
+    """Backward and forward as-of with every frame as a probe."""
+    q = t.frames.select(*REC, "frame_index", F.col("start_sec").alias("at"))
     ends = t.notes.select(*REC, F.col("end_sec").alias("at"), F.col("end_sec").alias("prev_end")).distinct()
     starts = t.notes.select(*REC, F.col("start_sec").alias("at"), F.col("start_sec").alias("next_start")).distinct()
     r = asof_join(asof_join(q, ends, REC, "at", ["prev_end"]), starts, REC, "at", ["next_start"], forward=True)

@@ -94,4 +94,39 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_iso_media": op10_iso_media,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SPACED, _ALNUM = r"[^\x20\x09-\x0D]+", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def _words_sql(column: str, pattern: str) -> str:
+    return f"regexp_extract_all({_LOW.format(f"coalesce({column}, '')")}, '{pattern}')"
+
+
+#: Plain SQL for the queries that it can express; a window or shingle is its words with a space between.
+ORACLE_SQL: dict[str, str] = {
+    "op6_bbit_minhash": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, {_words_sql("text", _SPACED)} AS ws FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 2], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+        c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.k = y.k AND x.doc_id < y.doc_id GROUP BY ALL),
+        e AS (SELECT a, b FROM c JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 85 * (na.n + nb.n - c)),
+        both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+        reach(node, label) AS (SELECT doc_id, doc_id FROM w UNION SELECT t.b, r.label FROM reach r JOIN both_ways t ON t.a = r.node),
+        least_of AS (SELECT node, min(label) AS label FROM reach GROUP BY 1)
+        SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, label AS component_id, w.doc_id = label AS kept FROM w LEFT JOIN n USING (doc_id) JOIN least_of ON node = w.doc_id""",
+    "op7_warc_index": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages), r AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS top FROM p)
+        SELECT page_id, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes,
+               array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(h, 5 * (i // 4) + 1, 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31), 1)), '') AS payload_digest,
+               CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to FROM r""",
+    "op8_suffix_automaton": f"""
+        WITH d AS (SELECT doc_id, {_words_sql("text", _ALNUM)} AS ws FROM documents),
+        b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_words_sql("text", _ALNUM)} AS ws FROM benchmark),
+        bw AS (SELECT DISTINCT item, n, array_to_string(ws[i:i + n - 1], ' ') AS k FROM (SELECT item, ws, least(10, len(ws)) AS n, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS i FROM b WHERE len(ws) > 0)),
+        dw AS (SELECT doc_id, n, i, array_to_string(ws[i:i + n - 1], ' ') AS k FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM bw) WHERE len(ws) >= n)),
+        hit AS (SELECT doc_id, item, i, dw.n FROM dw JOIN bw ON bw.k = dw.k AND bw.n = dw.n),
+        spots AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY 1),
+        items AS (SELECT doc_id, count(DISTINCT item) AS n_items, array_to_string(list_sort(list(DISTINCT item)), ',') AS names FROM hit GROUP BY 1)
+        SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN spots USING (doc_id) LEFT JOIN items USING (doc_id)""",
+}

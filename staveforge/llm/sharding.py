@@ -114,7 +114,10 @@ def shard(docs: DataFrame, parts: int = 8, tolerance: float = 0.005, id_col: str
     hi = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.col(text_col).isNull())
     lo = F.xxhash64(F.col(id_col).cast("string"), F.col(id_col).isNull())
     size = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long") + 1
-    rows = docs.drop("size", "shard", "slot").withColumns({"size": size, "__hi": hi, "__lo": lo})
+    base = docs.drop("size", "shard", "slot")
+    # A row goes through as one struct, so its own columns may have any names.
+    packed = F.struct(*[F.col(f"`{c}`") for c in base.columns])
+    rows = docs.select(packed.alias("__row"), F.col(id_col).alias("__id"), size.alias("size"), hi.alias("__hi"), lo.alias("__lo"))
     keys = sc.write(rows.select(F.col("__hi").alias("hi"), F.col("__lo").alias("lo"), "size"), "keys")
     cuts = splitters(keys, parts, tolerance)
 
@@ -141,6 +144,6 @@ def shard(docs: DataFrame, parts: int = 8, tolerance: float = 0.005, id_col: str
     bins_n = starts.limit((1 << BIN_BITS) * parts * 4 + 1).count()
     rows = rows.withColumns({"shard": place(F.col("__hi"), F.col("__lo")), "bin": _bits(F.col("__hi"), F.col("__lo"), 0, BIN_BITS)})
     rows = cut(rows, "__lo").join(F.broadcast(starts) if bins_n <= (1 << BIN_BITS) * parts * 4 else starts, ["shard", "bin", "__cut"])
-    place_in = Window.partitionBy("shard", "bin", "__cut").orderBy("__hi", "__lo", id_col)
+    place_in = Window.partitionBy("shard", "bin", "__cut").orderBy("__hi", "__lo", "__id")
     out = rows.withColumn("slot", F.col("__start") + F.row_number().over(place_in) - 1)
-    return out.select(*docs.drop("size", "shard", "slot").columns, "size", F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"))
+    return out.select("__row.*", "size", F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"))

@@ -183,8 +183,9 @@ def test_leaks(spark, docs, texts, monkeypatch):
 def test_shards(spark, docs, texts):
     many = docs.unionByName(spark.range(1000, 3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("hot copy")).otherwise(F.concat(F.lit("t"), "id")).alias("text"), F.lit("s").alias("source"), F.lit(0).cast("long").alias("size")))
     many = many.where("text is null or length(text) < 1000")
-    out = sharding.shard(many, parts=8).toPandas()
-    assert len(out) == many.count() and set(out.columns) == {"doc_id", "text", "source", "size", "shard", "slot"}
+    out = sharding.shard(many.withColumns({"bin": F.lit("x"), "cuts": F.lit("y")}), parts=8).toPandas()
+    assert len(out) == many.count() and set(out.columns) == {"doc_id", "text", "source", "bin", "cuts", "size", "shard", "slot"}
+    assert (out.bin == "x").all() and (out.cuts == "y").all()
     g = out.groupby("shard")
     assert (g.slot.max() + 1 == g.slot.nunique()).all() and (g.slot.nunique() == g.size()).all()
     total = g["size"].sum()

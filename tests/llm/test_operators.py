@@ -147,6 +147,37 @@ def test_fuzzy_lines(spark, docs, texts):
     assert lines.dedup_lines(empty(docs)).count() == 0
 
 
+def test_fuzzy_lines_of_mixed_scripts(spark, docs, texts):
+    rng = random.Random(8)
+    tail = " ".join(f"w{i}" for i in range(40))
+    han, code = "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(1000)), "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789+/", k=3000))
+    more = [(200, f"{han}\n{code}"), (201, f"{han} {tail}"), (202, f"{code} {tail}"), (203, "x" * 300_000)]
+    d = docs.where("doc_id = 45 or doc_id is null").select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    assert d.where("length(text) = 300000").count() == 2 and d.where("doc_id is null").count() == 1
+    got = {(r.doc_id, r.line_no): (r.component_doc, r.component_line, r.kept) for r in lines.dedup_lines(d).collect()}
+    want = {(None, 0): (None, 0, True), (45, 0): (45, 0, True), (200, 0): (200, 0, True), (200, 1): (200, 1, True)}
+    assert got == {**want, (201, 0): (200, 0, False), (202, 0): (200, 1, False), (203, 0): (45, 0, False)}
+
+
+def test_fuzzy_line_bands_meet(spark):
+    """Pairs of 324 shingles each at a similarity of exactly 0.8: three letters differ."""
+    assert (1 - 0.8**lines.ROWS) ** lines.BANDS < 1e-3
+    rng, rows = random.Random(4), []
+    for i in range(1500):
+        line = " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(48))[:335]
+        other = list(line)
+        for at in (60, 160, 260):
+            other[at] = "Z"
+        a, b = ({x[k : k + 12] for k in range(324)} for x in (line, "".join(other)))
+        if 5 * len(a & b) == 4 * len(a | b):
+            rows += [(2 * i, line), (2 * i + 1, "".join(other))]
+    assert len(rows) > 2900
+    named = lines.lines_of(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    keys = named.select("doc_id", "h1", "h2").join(lines.band_keys(named), ["h1", "h2"]).withColumn("pair", F.expr("doc_id div 2"))
+    met = keys.groupBy("pair", "key").agg(F.count_distinct("doc_id").alias("n")).where("n = 2").select("pair").distinct().count()
+    assert len(rows) // 2 - met <= 5
+
+
 def test_leaks(spark, docs, texts, monkeypatch):
     items = [("a", " ".join(texts[8].split()[5:30])), ("b", "TWO, words"), ("c", None), ("d", "?!"), ("e", "kappa"), ("b2", texts[20])]
     bench = spark.createDataFrame(items, "item_id string, text string")

@@ -1,6 +1,7 @@
 """Scenarios on 10 ms frames: alignment, refinement and activity regions."""
 
 import random
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from staveforge.operators import align as AL
 from staveforge.operators import islands as IS
 from staveforge.operators import refine as R
+from staveforge.plans import note_queries
 
 
 def frames(spark, rms, seconds=4.0, step=0.01, onset=lambda t: 0.0):
@@ -69,6 +71,41 @@ def test_global_offset(spark):
     assert a.alignment_action == "ALIGNED" and abs(a.aligned_start_sec - 1.0) < 0.05
 
 
+def plain_offset(onsets, evidence):
+    """The reference's search in plain steps, on its production grid."""
+    top, best = max(w for _, w in evidence), (-1.0, 0)
+    for i in range(301):
+        score = met = 0
+        for x in onsets:
+            d, _, w = min((abs(t - (x + (-3.0 + 0.02 * i))), -t, w) for t, w in evidence)
+            if d <= 0.08:
+                score, met = score + w / top * (1 - d / 0.08), met + 1
+        c = round((0.7 * score + 0.3 * met) / len(onsets), 9)
+        best = max(best, (c, -i))
+    return -best[1], best[0]
+
+
+def test_offset_search_on_the_whole_grid(spark):
+    r, fr, ns, want = random.Random(6), [], [], {}
+    for k, shift in enumerate((-2.34, -1.5, 0.06, 1.28, 2.9)):
+        peaks = sorted(r.sample(range(320, 900, 7), 12))
+        rms = [0.4 + 0.03 * (peaks.index(i) + 1) if i in peaks else 0.0 for i in range(1000)]
+        fr += [(f"r{k}", i, i * 0.01, (i + 1) * 0.01, v, v) for i, v in enumerate(rms)]
+        on = [i * 0.01 - shift for i in peaks]
+        ns += [(f"r{k}", f"n{i}", 40, x, x + 0.05, 0.8) for i, x in enumerate(on)]
+        want[f"r{k}"] = (*plain_offset(on, [(i * 0.01, 3 * rms[i]) for i in peaks]), shift)
+    f = spark.createDataFrame(fr, "recording_id string, frame_index int, start_sec double, end_sec double, rms double, onset_score double")
+    n = spark.createDataFrame(ns, "recording_id string, note_id string, pitch_midi int, start_sec double, end_sec double, confidence double")
+    t = SimpleNamespace(notes=n, frames=f)
+    got = {x.recording_id: x for x in note_queries.j11_search(t).collect()}
+    assert got.keys() == want.keys()
+    for k, (step, confidence, shift) in want.items():
+        assert got[k].step_no == step and got[k].confidence == pytest.approx(confidence, abs=2e-6) and abs(got[k].offset_sec - shift) < 0.011
+    starts = {(x.recording_id, x.note_id): x.start_sec for x in n.collect()}
+    for x in note_queries.m1(t).collect():
+        assert x.alignment_action in ("ALIGNED", "REVIEW_TIMING") and abs(x.aligned_start_sec - starts[x.recording_id, x.note_id] - want[x.recording_id][2]) < 0.45
+
+
 def plain_regions(fr, hold, least, gap, ratio=0.18):
     """The state machine in plain steps."""
     th = max(1e-6, ratio * max(f[2] for f in fr), 0.6 * sum(f[2] for f in fr) / len(fr))

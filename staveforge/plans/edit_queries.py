@@ -56,6 +56,12 @@ def d9(t: Tables) -> DataFrame:
     return ED.merge_notes(t.notes.where(SEL), [*REC, "track_index", "channel", "pitch_midi"])
 
 
+@query("d9_merge_all_notes", sql(" SELECT recording_id, track_index, channel, pitch_midi, arg_min(note_id, (start_tick, note_id)) || '_merged' AS note_id, min(start_tick) AS start_tick, max(end_tick) AS end_tick, count(*) AS merged FROM notes GROUP BY recording_id, track_index, channel, pitch_midi HAVING count(*) >= 2", "notes"))
+def d9_all(t: Tables) -> DataFrame:
+    """Every note; d9_merge_notes merges a selection."""
+    return ED.merge_notes(t.notes, [*REC, "track_index", "channel", "pitch_midi"])
+
+
 @query("d10_delete", sql(f" SELECT recording_id, note_id FROM notes WHERE NOT ({SEL})", "notes"))
 def d10(t: Tables) -> DataFrame:
     return t.notes.join(t.notes.where(SEL).select("note_id"), "note_id", "left_anti").select(*REC, "note_id")
@@ -84,6 +90,12 @@ def d15(t: Tables) -> DataFrame:
     return ED.loop(t.notes.where(SEL), 3).select(*REC, "note_id", "start_tick")
 
 
+@query("d15_d17_loop_recordings", sql(", s AS (SELECT recording_id, max(end_tick) - min(start_tick) AS len FROM notes GROUP BY 1) SELECT n.recording_id, note_id || '_c' || CAST(i AS VARCHAR) AS note_id, CAST(start_tick + i * greatest(len, 1) AS BIGINT) AS start_tick FROM notes n JOIN s USING (recording_id), range(1, 4) r(i)", "notes"))
+def d15_all(t: Tables) -> DataFrame:
+    """Whole recordings; d15_d17_loop_paste loops a selection."""
+    return ED.loop(t.notes, 3).select(*REC, "note_id", "start_tick")
+
+
 @query("d18_snap", sql(" SELECT recording_id, note_id, CAST(floor(start_tick / 120.0 + 0.5) * 120 AS BIGINT) AS start_tick FROM notes", "notes"))
 def d18(t: Tables) -> DataFrame:
     return t.notes.select(*REC, "note_id", E.snap(F.col("start_tick"), 480, 16).alias("start_tick"))
@@ -112,6 +124,12 @@ def a32(t: Tables) -> DataFrame:
     return t.notes.where(SEL).groupBy(*REC).agg(F.count(F.lit(1)).alias("notes"), F.min("velocity").alias("low"), F.rint(F.avg("velocity")).cast("int").alias("mean"), F.max("velocity").alias("high"))
 
 
+@query("a32_recording_velocity", sql(" SELECT recording_id, count(*) AS notes, min(velocity) AS low, CAST(round_even(avg(velocity), 0) AS INTEGER) AS mean, max(velocity) AS high FROM notes GROUP BY 1", "notes"))
+def a32_all(t: Tables) -> DataFrame:
+    """Every note; a32_selection_velocity summarises a selection."""
+    return t.notes.groupBy(*REC).agg(F.count(F.lit(1)).alias("notes"), F.min("velocity").alias("low"), F.rint(F.avg("velocity")).cast("int").alias("mean"), F.max("velocity").alias("high"))
+
+
 @query("w43_bar_beat", sql(" SELECT recording_id, note_id, CASE WHEN start_tick < 19200 THEN start_tick // 1920 + 1 ELSE 10 + (start_tick - 19200) // 1440 + 1 END AS bar, CASE WHEN start_tick < 19200 THEN start_tick % 1920 // 480 + 1 ELSE (start_tick - 19200) % 1440 // 480 + 1 END AS beat FROM notes", "notes"))
 def w43(t: Tables) -> DataFrame:
     sig = t.spark.createDataFrame([(0, 4, 4), (19200, 3, 4)], "tick long, numerator int, denominator int")

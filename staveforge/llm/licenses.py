@@ -67,9 +67,9 @@ SINGLE = [
     ("isc", 3, "permission to use", "permission to use copy modify and or distribute this software for any purpose"),
     ("bsd", 3, "redistribution and use in source", "redistribution and use in source and binary forms with or without modification are permitted"),
     ("bsd", 2, "endorse or promote", "may be used to endorse or promote products derived from"),
-    ("gpl", 3, "free software foundation", "redistribute it and or modify it under the terms of the gnu general public license"),
-    ("lgpl", 3, "free software foundation", "redistribute it and or modify it under the terms of the gnu lesser general public license"),
-    ("agpl", 3, "free software foundation", "redistribute it and or modify it under the terms of the gnu affero general public license"),
+    ("gpl", 3, "redistribute it and or modify it", "redistribute it and or modify it under the terms of the gnu general public license"),
+    ("lgpl", 3, "redistribute it and or modify it", "redistribute it and or modify it under the terms of the gnu lesser general public license"),
+    ("agpl", 3, "redistribute it and or modify it", "redistribute it and or modify it under the terms of the gnu affero general public license"),
     ("apache", 3, "apache org licenses", "www apache org licenses license 2 0"),
     ("gpl", 3, "gnu org licenses", "www gnu org licenses(?: old licenses)? gpl(?: [0-9] 0)?"),
     ("lgpl", 3, "gnu org licenses", "www gnu org licenses(?: old licenses)? lgpl(?: [0-9] [0-9])?"),
@@ -93,7 +93,7 @@ SINGLE = [
     ("copyright", 0, "copyright", "copyright (?:c )?(?:19|20)[0-9][0-9]"),
 ]
 
-#: A text without any of these cannot hold a signature (rules() checks that each keyword does).
+#: A text without any of these cannot hold a signature (a test holds every rule's matches against it and against the rule's keyword).
 _GATE = r" (?:[al]?gpl|apache|artistic|affero|bsd|boost|cc|cc0|cddl|cecill|common |confidential|copyright|creative|creativecommons|eclipse|elastic|endorse|epl|eupl|european|expat|free|gfdl|gnu|ibm|internet|isc|business|academic|microsoft|mit|mozilla|mpl|odbl|open|openssl|opensource|permission|php|perl|postgresql|provided|psf|public|python|redistribution|ruby|server|sil|simplified|modified|new|spdx|the unlicense|unencumbered|wtfpl|x11|zlib|all rights) ?"
 _WORD = r"\x00-\x2F\x3A-\x60\x7B-\x7F"
 

@@ -32,9 +32,10 @@ class Automaton:
 
     short: for each state the (length, item) of whole items shorter than the window that end there.
     held: for each state the items that contain its strings, for states that hold strings of the window's length.
+    An item whose name is None counts for hits, but is named nowhere.
     """
 
-    def __init__(self, items: list[tuple[str, np.ndarray]], window: int):
+    def __init__(self, items: list[tuple[str | None, np.ndarray]], window: int):
         self.window = window
         items = [(name, h) for name, h in items if len(h)]
         self.vocab = np.unique(np.concatenate([h for _, h in items])) if items else np.empty(0, np.uint64)
@@ -49,8 +50,8 @@ class Automaton:
             pairs.update(a * len(self.vocab) + b for a, b in zip(seq, seq[1:], strict=False))
         self.pairs = np.array(sorted(pairs), np.int64)
         self.least = min([window, *(len(s) for _, s in seqs)])
-        self.short: dict[int, list[tuple[int, str]]] = {}
-        held: dict[int, set[str]] = {}
+        self.short: dict[int, list[tuple[int, str | None]]] = {}
+        held: dict[int, set[str | None]] = {}
         for name, seq in seqs:
             at = 0
             for k, c in enumerate(seq):
@@ -59,7 +60,7 @@ class Automaton:
                     held.setdefault(q, set()).add(name)
             if len(seq) < window:
                 self.short.setdefault(self._suffix(at, len(seq)), []).append((len(seq), name))
-        self.held = {k: tuple(sorted(v)) for k, v in held.items()}
+        self.held = {k: tuple(sorted(v - {None})) for k, v in held.items()}
 
     def _suffix(self, state: int, n: int) -> int:
         """The state of the last n words of a state's strings."""
@@ -156,7 +157,8 @@ class Automaton:
                     for m, name in self.short.get(q, ()):
                         if m <= n:
                             hits.append((i - m + 1, i + 1))
-                            items.add(name)
+                            if name is not None:
+                                items.add(name)
                     q = link[q]
         return hits, items, longest
 
@@ -211,17 +213,18 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = 10, text_col: st
     consecutive words of an item, or of a whole item of fewer words. longest is the longest run of words that one
     item holds, if it reaches the window (or a short item); items are the ids, as strings, of items with occurring
     windows; spans are the hit intervals: words first (from 0) to before last, UTF-8 bytes begin to before end.
-    Null texts and texts without words have zeros and empty arrays; null or wordless items have no windows. An
-    empty item table marks nothing. Rows that repeat stay as they are.
+    Null texts and texts without words have zeros and empty arrays; items with null or wordless text have no
+    windows. Items with a null id count for n_hit, longest and spans, but are not among items. An empty item table
+    marks nothing. Rows that repeat stay as they are.
     """
     spark, sc = docs.sparkSession, None
-    cut = items.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).cast("string").alias("text")).where("item is not null and text is not null")
+    cut = items.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).cast("string").alias("text")).where("text is not null")
     # Spaces bound the number of words from above, so this sizes the automata without a tokeniser.
     total = cut.agg(F.sum(F.length(F.col("text")) / 2 + 1).alias("n")).first()["n"] or 0
     passes = max(1, int(total // AUTOMATON_WORDS) + 1 if total > AUTOMATON_WORDS else 1)
     docs = docs.drop(out)
     for k in range(passes):
-        rows = cut.where(F.pmod(F.xxhash64("item"), F.lit(passes)) == k).collect()
+        rows = cut.where(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == k).collect()
         batch = pa.record_batch({"text": pa.array([r["text"] for r in rows], pa.string())})
         w = W.scan(batch, "text", W.ALNUM)
         seqs = [(r["item"], w.hash[w.bounds[i] : w.bounds[i + 1]]) for i, r in enumerate(rows)]

@@ -173,7 +173,7 @@ def test_fuzzy_line_bands_meet(spark):
             rows += [(2 * i, line), (2 * i + 1, "".join(other))]
     assert len(rows) > 2900
     named = lines.lines_of(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
-    keys = named.select("doc_id", "h1", "h2").join(lines.band_keys(named), ["h1", "h2"]).withColumn("pair", F.expr("doc_id div 2"))
+    keys = named.select("doc_id", "h1", "h2").join(lines.signatures(named).select("h1", "h2", F.explode("keys").alias("key")), ["h1", "h2"]).withColumn("pair", F.expr("doc_id div 2"))
     met = keys.groupBy("pair", "key").agg(F.count_distinct("doc_id").alias("n")).where("n = 2").select("pair").distinct().count()
     assert len(rows) // 2 - met <= 5
 

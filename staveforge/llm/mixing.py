@@ -12,12 +12,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import Scratch
+from .common import BROADCAST_ROWS, Scratch
+
+
+#: Units of one source that are put in order at once when a queue is cut.
+EDGE = 20_000
+_PLACES = 1 << 52
 
 
 def words(text: Column) -> Column:
-    """Number of runs without ASCII white space (null: 0)."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    """Number of runs without ASCII white space (null: 0): every run becomes one letter, and no array of words is built."""
+    bare = F.btrim(text, F.lit(" \t\n\x0b\f\r"))
+    return F.coalesce(F.length(F.regexp_replace(bare, r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++", "w")), F.lit(0)).cast("long")
 
 
 def targets(sources: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), cap: float = 3.0) -> DataFrame:
@@ -81,63 +87,122 @@ def duals(cells: DataFrame, goal: DataFrame, cap: float, scratch: Scratch, round
     return state.select("source", "total", "target", "scale", "dual")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", cap: int = 3, bins: int = 4096) -> DataFrame:
-    """docs with size, source_size, target and copies (own columns of these names are replaced).
+def _cut(units: DataFrame, rest: DataFrame, scratch: Scratch) -> DataFrame:
+    """(source, last, left): units of a source up to queue place `last` fit into its rest; left is what they do not use.
+
+    units: (source, key, at, mass), rest: (source, rest). The place is found by histogram, 12 bits of the queue a
+    round, each round only inside the bin that the last one could not take whole; below EDGE units, in order.
+    """
+    u = units.select("source", "key", "mass", "at")
+    edge = scratch.write(rest.select(F.col("source").alias("es"), F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("had"), "rest", F.lit(False).alias("fits")), "edge")
+    for bits in (40, 28, 16, 4):
+        inside = u.join(edge.where("not fits"), F.col("source").eqNullSafe(F.col("es"))).where((F.col("at") >= F.col("lo")) & (F.col("at") < F.col("lo") + F.lit(1 << (bits + 12))))
+        hist = inside.groupBy("source", F.shiftright("at", bits).alias("bin")).agg(F.sum("mass").alias("m"), F.first("rest").alias("rest"), F.first("had").alias("had"), F.count(F.lit(1)).alias("n"))
+        upto = F.sum("m").over(Window.partitionBy("source").orderBy("bin")) + F.col("had")
+        hist = hist.withColumn("upto", upto)
+        taken = F.col("upto") <= F.col("rest")
+        nxt = hist.groupBy("source").agg(F.max(F.when(taken, F.col("upto"))).alias("now"), F.min(F.when(~taken, F.struct("bin", "n"))).alias("next")).withColumnRenamed("source", "ns")
+        moved = edge.join(nxt, F.col("es").eqNullSafe(F.col("ns")), "left").select(
+            "es", F.coalesce(F.shiftleft("next.bin", bits), "lo").alias("lo"), F.greatest("had", F.coalesce("now", "had")).alias("had"), "rest",
+            (F.col("fits") | F.col("next").isNull()).alias("fits"), F.coalesce("next.n", F.lit(0)).alias("n"),
+        )
+        moved = scratch.write(moved, "edge")
+        scratch.drop(edge)
+        edge = moved
+        if not edge.where((F.col("n") > EDGE) & ~F.col("fits")).limit(1).count():
+            break
+        edge = edge.drop("n")
+    edge = edge.drop("n")
+    inside = u.join(edge.where("not fits"), F.col("source").eqNullSafe(F.col("es"))).where((F.col("at") >= F.col("lo")) & (F.col("at") < F.col("lo") + F.lit(1 << bits)))
+    order = Window.partitionBy("source").orderBy("at", "key")
+    inside = inside.withColumn("upto", F.sum("mass").over(order) + F.col("had")).where("upto <= rest")
+    last = inside.groupBy(F.col("source").alias("ls")).agg(F.max(F.struct("at", "key")).alias("last"), F.max("upto").alias("got"))
+    none = F.struct((F.col("lo") - 1).alias("at"), F.lit(2**63 - 1).alias("key"))
+    every = F.struct(F.lit(1 << 53).alias("at"), F.lit(2**63 - 1).alias("key"))
+    return edge.join(last, F.col("es").eqNullSafe(F.col("ls")), "left").select(F.col("es").alias("source"), F.when(F.col("fits"), every).otherwise(F.coalesce("last", none)).alias("last"), (F.col("rest") - F.coalesce("got", "had")).alias("left"))
+
 
-    Targets are those of targets(weights, cap). A copy count is 0 to cap and sums of size * copies per source miss the target by
-    less than the smallest waiting document does. Whole parts of the rate are copies for sure; the rest goes to the documents that come
-    first by hash(id, text) over their fractional part, so reruns agree and expected copies follow the rates. Null
-    texts have size 0 and one copy; rows that repeat an id and text are chosen alike but for the last of a source.
-    Null is a source of its own. An empty table stays empty.
+def _fill(units: DataFrame, limit: DataFrame) -> DataFrame:
+    """(source, key) of waiting units that fill what _cut left: the largest mass that still fits goes first, as often as it fits.
+
+    The fold runs over the distinct masses of a source's waiting units, none above twice what is left (less than one document).
+    """
+    lim = limit.select(F.col("source").alias("ls"), "last", "left").where("left > 0")
+    waiting = units.join(lim, F.col("source").eqNullSafe(F.col("ls"))).where((F.struct("at", "key") > F.col("last")) & (F.col("mass") < 2 * F.col("left"))).select("source", "key", "at", "mass", "left")
+    cells = waiting.groupBy("source", "mass").agg(F.count(F.lit(1)).alias("n"), F.first("left").alias("left"))
+    runs = cells.groupBy("source").agg(F.first("left").alias("left"), F.sort_array(F.collect_list(F.struct("mass", "n")), asc=False).alias("c"))
+    nothing = F.struct(F.col("left").alias("left"), F.expr("cast(array() as array<struct<mass:bigint,k:bigint>>)").alias("got"))
+
+    def step(state: Column, c: Column) -> Column:
+        k = F.least(c["n"], F.floor(state["left"] / c["mass"]))
+        more = F.concat(state["got"], F.array(F.struct(c["mass"].alias("mass"), k.alias("k"))))
+        return F.when(k > 0, F.struct((state["left"] - k * c["mass"]).alias("left"), more.alias("got"))).otherwise(state)
+
+    # At last the smallest document that overshoots, where that comes nearer.
+    s = runs.select("source", "c", F.aggregate("c", nothing, step).alias("s"))
+    used = lambda c: F.exists("s.got", lambda g: (g["mass"] == c["mass"]) & (g["k"] == c["n"]))
+    over = F.array_min(F.transform(F.filter("c", lambda c: (c["mass"] < 2 * F.col("s.left")) & ~used(c)), lambda c: c["mass"]))
+    s = s.withColumn("over", over)
+    again = F.coalesce(F.aggregate(F.filter("s.got", lambda g: g["mass"] == F.col("over")), F.lit(0).cast("long"), lambda a, g: g["k"]), F.lit(0)) + 1
+    got = F.when(F.col("over").isNull(), F.col("s.got")).otherwise(F.concat(F.col("s.got"), F.array(F.struct(F.col("over").alias("mass"), again.cast("long").alias("k")))))
+    picks = s.select("source", F.explode(got).alias("p")).groupBy(F.col("source").alias("ps"), F.col("p.mass").alias("pm")).agg(F.max("p.k").alias("k"))
+    order = F.row_number().over(Window.partitionBy("source", "mass").orderBy("at", "key"))
+    chosen = waiting.join(picks, F.col("source").eqNullSafe(F.col("ps")) & (F.col("mass") == F.col("pm")))
+    return chosen.withColumn("r", order).where("r <= k").select("source", "key")
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", cap: int = 3, prefix: str = "") -> DataFrame:
+    """docs with size, source_size, target and copies, each name behind prefix (own columns of these names are replaced).
+
+    Targets are those of targets(weights, cap). A copy count is 0 to cap. Whole parts of the rate are copies for sure;
+    the rest goes to the documents that come first by hash(id, text) over their fractional part, so reruns agree and
+    expected copies follow the rates. What the queue leaves of a target is filled with waiting documents, the largest
+    that fit first, so a source misses its target by at most half of its smallest waiting unit. Null texts have size 0
+    and one copy; rows that repeat a source, id and text are one unit: all of them get a copy more or none does. Null
+    is a source of its own. An empty table stays empty.
     """
     sc = Scratch(docs.sparkSession, "mix")
-    base = docs.drop("size", "source_size", "target", "copies")
-    key = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string"))
-    rows = base.withColumns({"size": words(F.col(text_col)), "__key": key})
-    slim = sc.write(rows.select(F.col(source_col).cast("string").alias("source"), "size", F.col("__key").alias("key")), "slim")
-    cells = sc.write(slim.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "cells")
+    base = docs.drop(*[prefix + c for c in ("size", "source_size", "target", "copies")])
+    # Names that no column of docs has.
+    x = "_mix"
+    while any(c.lower().startswith(x) for c in docs.columns):
+        x += "_"
+    own = {f"{x}_source": F.col(f"`{source_col}`").cast("string"), f"{x}_size": words(F.col(f"`{text_col}`").cast("string")), f"{x}_key": F.xxhash64(F.col(f"`{id_col}`").cast("string"), F.col(f"`{text_col}`").cast("string"))}
+    rows = base.withColumns(own)
+    slim = rows.select(F.col(f"{x}_source").alias("source"), F.col(f"{x}_size").alias("size"), F.col(f"{x}_key").alias("key"))
+    slim = sc.write(slim.groupBy("source", "size", "key").agg(F.count(F.lit(1)).alias("rows")), "slim")
+    cells = sc.write(slim.groupBy("source", "size").agg(F.sum("rows").alias("n")), "cells")
     totals = cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).cast("long").alias("total"))
-    goal = sc.write(targets(totals, weights, float(cap)), "goal")
-    solved = duals(cells, goal, float(cap), sc)
-
-    def rated(df: DataFrame) -> DataFrame:
-        """rate, whole copies, and the place (0 to 1) in the queue for one more."""
-        d = solved.select(F.col("source").alias("__s"), F.col("total").alias("source_size"), "target", "scale", "dual")
-        rate = F.when(F.col("size") == 0, F.lit(1.0)).when(F.col("dual").isNull(), F.lit(float(cap))).otherwise(F.least(F.exp(F.least(F.col("dual") * F.col("size") / F.col("scale"), F.lit(50.0))), F.lit(float(cap))))
-        df = df.join(d, F.col("source").eqNullSafe(F.col("__s"))).drop("__s").withColumn("rate", rate)
-        part = F.col("rate") - F.floor("rate")
-        u = (F.shiftrightunsigned(F.col("key"), 11) + 1) / float(1 << 53)
-        return df.withColumns({"whole": F.floor("rate").cast("int"), "queue": F.when((part > 0) & (F.col("size") > 0), u / (u + part))})
-
-    rated_slim = sc.write(rated(slim).select("source", "size", "key", "whole", "queue", "target"), "rated")
-    b = F.least(F.floor(F.col("queue") * bins), F.lit(bins - 1)).cast("int")
-    rest = rated_slim.groupBy("source").agg((F.first("target") - F.sum(F.col("size") * F.col("whole"))).alias("rest"))
-    hist = rated_slim.where("queue is not null").groupBy("source", b.alias("bin")).agg(F.sum("size").alias("m"))
-    run = Window.partitionBy("source").orderBy("bin")
-    hist = hist.withColumn("upto", F.sum("m").over(run)).join(rest.withColumnRenamed("source", "rs"), F.col("source").eqNullSafe(F.col("rs")))
-    # Bins that fit whole are taken; inside the next one the documents queue one by one.
-    edge = hist.groupBy("source").agg(
-        F.coalesce(F.max(F.when(F.col("upto") <= F.col("rest"), F.col("bin"))), F.lit(-1)).alias("full"),
-        F.coalesce(F.max(F.when(F.col("upto") <= F.col("rest"), F.col("upto"))), F.lit(0)).alias("had"),
-        F.min(F.when(F.col("upto") > F.col("rest"), F.col("bin"))).alias("next"), F.first("rest").alias("rest"),
-    )
-    edge = sc.write(edge, "edge").withColumnRenamed("source", "es")
-    inside = rated_slim.where("queue is not null").join(edge, F.col("source").eqNullSafe(F.col("es"))).where(b == F.col("next"))
-    at = Window.partitionBy("source").orderBy("queue", "key", "size")
-    inside = inside.withColumn("upto", F.sum("size").over(at.rowsBetween(Window.unboundedPreceding, 0)) + F.col("had"))
-    taken = inside.where(F.col("upto") <= F.col("rest")).groupBy("source").agg(F.max("queue").alias("last"), F.max("upto").alias("got"))
-    limit = (
-        edge.join(taken.withColumnRenamed("source", "cs"), F.col("es").eqNullSafe(F.col("cs")), "left")
-        .select("es", F.when(F.col("next").isNull(), F.lit(1.0)).otherwise(F.coalesce("last", (F.col("full") + 1) / F.lit(float(bins)) - 1e-15)).alias("last"), (F.col("rest") - F.coalesce("got", "had")).alias("left"))
-    )
-    limit = sc.write(limit, "limit")
-    # What is left of a source's target goes to the one waiting document whose size is nearest to it.
-    miss = F.abs(F.col("size") - F.col("left"))
-    waiting = rated_slim.where("queue is not null").join(limit, F.col("source").eqNullSafe(F.col("es"))).where((F.col("queue") > F.col("last")) & (miss < F.col("left")))
-    pick = waiting.groupBy("source").agg(F.min(F.struct(miss.alias("miss"), "queue", "key")).alias("best")).select(F.col("source").alias("ps"), F.col("best.key").alias("pick"))
-    limit = sc.write(limit.join(pick, F.col("es").eqNullSafe(F.col("ps")), "left").select("es", "last", "pick"), "limit")
-    # A document goes through as one struct, so its own columns may have any names.
-    packed = rows.select(F.struct(*[F.col(f"`{c}`") for c in base.columns]).alias("__row"), "size", F.col("__key").alias("key"), F.col(source_col).cast("string").alias("source"))
-    done = rated(packed).join(limit, F.col("source").eqNullSafe(F.col("es")), "left")
-    copies = F.col("whole") + F.when((F.col("queue") <= F.col("last")) | (F.col("queue").isNotNull() & (F.col("key") == F.col("pick"))), 1).otherwise(0)
-    return done.select("__row.*", "size", "source_size", "target", copies.cast("int").alias("copies"))
+    solved = sc.write(duals(cells, sc.write(targets(totals, weights, float(cap)), "goal"), float(cap), sc), "solved")
+
+    def rate(size: Column, dual: Column, scale: Column) -> Column:
+        tilt = F.exp(F.least(dual * size / scale, F.lit(50.0)))
+        return F.when(size == 0, F.lit(1.0)).otherwise(F.coalesce(F.least(tilt, F.lit(float(cap))), F.lit(float(cap))))
+
+    def queued(r: Column, key: Column) -> Column:
+        """Place from 0 to _PLACES - 1 in the queue for one copy more; null for a whole rate."""
+        part = r - F.floor(r)
+        u = (F.shiftrightunsigned(key, 11) + 1) / F.lit(float(1 << 53))
+        return F.when(part > 0, F.least(F.floor(u / (u + part) * F.lit(float(_PLACES))).cast("long"), F.lit(_PLACES - 1)))
+
+    d = solved.withColumnRenamed("source", "ds")
+    rated = slim.join(d, F.col("source").eqNullSafe(F.col("ds"))).withColumn("rate", rate(F.col("size"), F.col("dual"), F.col("scale")))
+    rated = sc.write(rated.select("source", "key", (F.col("size") * F.col("rows")).alias("mass"), F.floor("rate").cast("int").alias("whole"), queued(F.col("rate"), F.col("key")).alias("at"), "target"), "rated")
+    rest = rated.groupBy("source").agg((F.first("target") - F.sum(F.col("mass") * F.col("whole"))).alias("rest"))
+    units = rated.where("at is not null").select("source", "key", "at", "mass")
+    limit = sc.write(_cut(units, rest, sc), "limit")
+    picked = sc.write(_fill(units, limit).withColumn("more", F.lit(1)), "picked")
+    sc.drop(slim, cells, rated)
+
+    facts = solved.join(limit.select(F.col("source").alias("ls"), "last"), F.col("source").eqNullSafe(F.col("ls")))
+    facts = facts.select(F.struct(F.col("source"), F.col("total").alias("total"), "target", "scale", "dual", "last").alias(f"{x}_s"))
+    done = rows.join(facts, F.col(f"{x}_source").eqNullSafe(F.col(f"{x}_s.source")))
+    few = picked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    p = picked.select(F.struct("source", "key", "more").alias(f"{x}_p"))
+    done = done.join(F.broadcast(p) if few else p, F.col(f"{x}_source").eqNullSafe(F.col(f"{x}_p.source")) & (F.col(f"{x}_key") == F.col(f"{x}_p.key")), "left")
+    size, key = F.col(f"{x}_size"), F.col(f"{x}_key")
+    done = done.withColumn(f"{x}_r", rate(size, F.col(f"{x}_s.dual"), F.col(f"{x}_s.scale")))
+    done = done.withColumn(f"{x}_at", queued(F.col(f"{x}_r"), key))
+    early = F.struct(F.col(f"{x}_at").alias("at"), key.alias("key")) <= F.col(f"{x}_s.last")
+    copies = F.floor(f"{x}_r").cast("int") + F.when(F.col(f"{x}_at").isNotNull() & (early | F.col(f"{x}_p.more").isNotNull()), 1).otherwise(0)
+    return done.select(*[F.col(f"`{c}`") for c in base.columns], size.alias(f"{prefix}size"), F.col(f"{x}_s.total").alias(f"{prefix}source_size"), F.col(f"{x}_s.target").alias(f"{prefix}target"), copies.cast("int").alias(f"{prefix}copies"))

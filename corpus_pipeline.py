@@ -36,8 +36,12 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's target asks (0 to 3 rows); copies are equal rows."""
-    mixed = mix(docs, weights=(5.0, 2.0, 1.0), cap=3)
-    return mixed.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.greatest("copies", F.lit(1)))).alias("__copy"), "copies").where("copies > 0").select(*docs.columns)
+    names = docs.columns
+    own = "_mix"
+    while any(c.lower().startswith(own) for c in names):
+        own += "_"
+    mixed = mix(docs, weights=(5.0, 2.0, 1.0), cap=3, prefix=own)
+    return mixed.withColumn(f"{own}n", F.explode(F.array_repeat(F.lit(1), F.col(f"{own}copies")))).select(*[F.col(f"`{c}`") for c in names])
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,7 +3,6 @@
 import io
 import math
 import struct
-import time
 import wave
 
 import numpy as np
@@ -59,24 +58,35 @@ def test_wav_features(spark, tmp_path):
 
 def test_streams_equal_batch(spark, tmp_path):
     src = str(tmp_path / "in")
-    rows = [("a", 0.0, 1.0), ("a", 0.2, 3.0), ("a", 0.3, 2.0), ("a", 1.0, 1.0), ("b", 0.0, 1.0), ("a", 5.0, 0.1), ("b", 9.0, 1.0)]
-    spark.createDataFrame(rows, "k string, t double, strength double").coalesce(1).write.parquet(src)
-    s = spark.readStream.schema("k string, t double, strength double").parquet(src)
-    q = online.refractory(s, "k", 0.5).writeStream.format("memory").queryName("stand").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
-    for _ in range(60):  # the last hit of each key comes out on timeout
-        q.processAllAvailable()
-        if spark.table("stand").count() == 5:
-            break
-        time.sleep(1)
+    rows = [("a", 100.0, 1.0), ("a", 100.2, 3.0), ("a", 100.3, 2.0), ("a", 101.0, 1.0), ("b", 100.0, 1.0), ("a", 105.0, 0.1), ("b", 109.0, 1.0)]
+    late = [("a", 101.3, 4.0), ("b", 100.4, 2.0), ("a", 104.8, 0.2)]
+    stamped = lambda x: spark.createDataFrame(x, "k string, t double, strength double").select("k", F.timestamp_micros((F.col("t") * 1_000_000).cast("long")).alias("ts"), "strength").coalesce(1)
+    stamped(rows).write.parquet(src)
+    s = spark.readStream.schema("k string, ts timestamp, strength double").parquet(src)
+    q = online.refractory(s, "k", 0.5, "20 seconds").writeStream.format("memory").queryName("stand").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    stamped(late).write.mode("append").parquet(src)
+    q.processAllAvailable()
+    stamped([("z", 1000.0, 1.0)]).write.mode("append").parquet(src)  # moves the watermark past all
+    q.processAllAvailable()
     q.stop()
-    assert {(r.k, r.t) for r in spark.table("stand").collect()} >= {("a", 0.2), ("a", 1.0), ("b", 0.0)}
+    want, held = [], {}
+    for k, t, v in sorted(rows + late, key=lambda r: r[1:]):
+        if k not in held or t - held[k][0] >= 0.5:
+            want += [(k, *held[k])] if k in held else []
+            held[k] = (t, v)
+        elif v > held[k][1]:
+            held[k] = (t, v)
+    want += [(k, *x) for k, x in held.items()]
+    assert sorted((r.k, round(r.t, 6), r.strength) for r in spark.table("stand").collect()) == sorted(want)
     ts = str(tmp_path / "ts")
     spark.createDataFrame(rows, "k string, t double, strength double").select("k", F.timestamp_micros((F.col("t") * 1_000_000).cast("long")).alias("ts")).coalesce(1).write.parquet(ts)
     out = online.transient_sessions(spark.readStream.schema("k string, ts timestamp").parquet(ts), "k", 200_000, "1 second")
     q = out.writeStream.format("memory").queryName("groups").outputMode("append").option("checkpointLocation", str(tmp_path / "d")).start()
     q.processAllAvailable()
     q.stop()
-    assert ("a", 3) in {(r.k, r.n) for r in spark.table("groups").collect()}
+    # The watermark stands at 108 s, so the group of b at 109 s is still open.
+    assert sorted((r.k, r.n) for r in spark.table("groups").collect()) == [("a", 1), ("a", 1), ("a", 3), ("b", 1)]
 
 
 def test_array_functions(spark):

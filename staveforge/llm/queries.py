@@ -18,10 +18,12 @@ from .toxicity import score, train
 
 
 def op1_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of documents with the first line of its component (operator 1); see dedup_lines for nulls and repeats."""
     return dedup_lines(table(spark, sf_dir, "documents"))
 
 
 def op2_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in shards 0 to 7 under the law bytes (operator 2); a null text has size 1 and the checksum of an empty text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
     cut = shard(docs.withColumn("text_crc32", crc), parts=8)
@@ -29,6 +31,7 @@ def op2_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade and top probability of every document (operator 3), fitted on all labels; null texts count as empty."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     graded = docs.select("doc_id", quality.grade(F.col("text"), model, spark).alias("g"))
@@ -36,34 +39,42 @@ def op3_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document (operator 4), fitted on labels whose id is not held out; a null id is not held out and never fitted."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
 
     def held(c: str) -> Column:
-        return F.crc32(F.col(c).cast("string").cast("binary")) % 3 == 1
+        return F.coalesce(F.crc32(F.col(c).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
-    model = train(docs, table(spark, sf_dir, "labels").where(~held("doc_id")))
+    model = train(docs, table(spark, sf_dir, "labels").where(F.col("doc_id").isNotNull() & ~held("doc_id")))
     scored = docs.select("doc_id", held("doc_id").alias("held_out"), score(F.col("text"), model, spark).alias("score"))
     return scored.withColumn("predicted", F.when(F.col("score") >= 0.7, 1).otherwise(0))
 
 
 def op5_entropy_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document (operator 5); null texts have size 0, null is a source of its own."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     mixed = mix(docs, weights=(5.0, 2.0, 1.0), cap=3)
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
 def op6_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near copies over whole documents (operator 6); null and wordless texts stand alone."""
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
 def op7_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record for every page, written to archives and read back through both index levels (operator 7); null bodies are empty."""
     folder = Scratch(spark, "archives").folder("pages")
-    warc.write_archives(table(spark, sf_dir, "pages"), folder, revisit_from=0)
-    records = warc.read_records(warc.captures(spark, folder), folder, payloads=False)
+    pages = table(spark, sf_dir, "pages")
+    warc.write_archives(pages, folder, revisit_from=0)
+    # Every page is looked up by its URL; pages of one URL key find each other's captures too, which count once.
+    found = warc.lookup(pages.select(F.coalesce("url", F.lit("")).alias("url")), folder).select("file", "offset", "length").distinct()
+    records = warc.read_records(found, folder, payloads=False)
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op8_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in a benchmark window (operator 8); null texts have no words."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     marked = find_leaks(docs, table(spark, sf_dir, "benchmark"), window=10)
     items = F.array_join(F.array_sort("leak.items"), ",")
@@ -74,10 +85,12 @@ def op8_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and labels of every document (operator 9); null texts are empty."""
     return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "license.*")
 
 
 def op10_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every text stored in an ISO media file and read back (operator 10); null texts are empty."""
     return media.digests(media.store(table(spark, sf_dir, "documents")))
 
 

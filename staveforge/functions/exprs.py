@@ -166,3 +166,18 @@ def redact(text: Column) -> Column:
     for pattern, by in SECRETS:
         text = F.regexp_replace(text, pattern, by)
     return text
+
+
+def html_escape(text: Column) -> Column:
+    """ampersand, angle brackets."""
+    return F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def csv_field(text: Column) -> Column:
+    """a quoted field with its quotes doubled."""
+    return F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
+
+
+def safe_file_name(text: Column) -> Column:
+    """runs outside letters, digits, dot, underscore and hyphen become one underscore."""
+    return F.regexp_replace(text, r"[^A-Za-z0-9._-]+", "_")

@@ -24,7 +24,7 @@ def merge_spans(df: DataFrame, by: list[str], gap: float = 0.0, aggs: list[Colum
 
 
 def hysteresis_regions(frames: DataFrame, by: list[str], hold: float, min_region: float, merge_gap: float, ratio: float = 0.18, hint: str | None = None) -> DataFrame:
-    """Regions of activity (by, start_sec, end_sec, peak_energy, mean_energy, onset_count).
+    """Regions of activity (by, start_sec, end_sec, peak_energy, mean_energy, onset_count, confidence).
 
     frames: by, frame_index, start_sec, end_sec, energy, onset. A frame is active at energy >= max(1e-6, ratio * peak, 0.6 * mean),
     or by hint. A silence shorter than hold belongs to the region around it; a longer one ends the region at the last
@@ -34,7 +34,9 @@ def hysteresis_regions(frames: DataFrame, by: list[str], hold: float, min_region
     every = Window.partitionBy(*by)
     w = every.orderBy("frame_index")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    active = F.col("energy") >= F.greatest(F.lit(1e-6), F.max("energy").over(every) * ratio, F.avg("energy").over(every) * 0.6)
+    threshold = F.greatest(F.lit(1e-6), F.max("energy").over(every) * ratio, F.avg("energy").over(every) * 0.6)
+    frames = frames.withColumn("__th", threshold)
+    active = F.col("energy") >= F.col("__th")
     if hint:
         active = active | F.col(hint)
     f = frames.withColumn("__a", active)
@@ -46,7 +48,9 @@ def hysteresis_regions(frames: DataFrame, by: list[str], hold: float, min_region
     f = f.withColumn("__island", F.sum(F.col("__break").cast("int")).over(upto)).where(~F.col("__break"))
     isl = Window.partitionBy(*by, "__island").orderBy("frame_index").rowsBetween(Window.unboundedPreceding, 0)
     f = f.withColumn("__seen", F.max(F.col("__a").cast("int")).over(isl)).where("__seen = 1")
-    r = f.groupBy(*by, "__island").agg(F.min("start_sec").alias("start_sec"), F.max_by("end_sec", "frame_index").alias("end_sec"), F.max("energy").alias("peak_energy"), F.avg("energy").alias("mean_energy"), F.sum((F.col("onset") > 0).cast("int")).alias("onset_count")).drop("__island")
+    r = f.groupBy(*by, "__island").agg(F.min("start_sec").alias("start_sec"), F.max_by("end_sec", "frame_index").alias("end_sec"), F.max("energy").alias("peak_energy"), F.avg("energy").alias("mean_energy"), F.sum((F.col("onset") > 0).cast("int")).alias("onset_count"), F.first("__th").alias("__th")).drop("__island")
+    sure = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("mean_energy") / F.col("__th") * 0.6 + 0.1 * F.col("onset_count")))
+    r = r.withColumn("confidence", sure).drop("__th")
     r = r.where((F.col("end_sec") - F.col("start_sec") >= min_region) | (F.col("onset_count") > 0))
     length = F.col("end_sec") - F.col("start_sec")
     order = Window.partitionBy(*by).orderBy("start_sec")
@@ -54,7 +58,7 @@ def hysteresis_regions(frames: DataFrame, by: list[str], hold: float, min_region
     r = r.withColumn("__n", new).withColumn("__g", F.sum("__n").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     g = r.groupBy(*by, "__g").agg(
         F.min("start_sec").alias("start_sec"), F.max("end_sec").alias("end_sec"), F.max("peak_energy").alias("peak_energy"),
-        F.sum("onset_count").alias("onset_count"), F.array_sort(F.collect_list(F.struct("start_sec", "end_sec", "mean_energy"))).alias("__parts"),
+        F.sum("onset_count").alias("onset_count"), F.max("confidence").alias("confidence"), F.array_sort(F.collect_list(F.struct("start_sec", "end_sec", "mean_energy"))).alias("__parts"),
     )
 
     def join(a: Column, x: Column) -> Column:  # the span so far, gaps included, weighs against the next region
@@ -63,4 +67,4 @@ def hysteresis_regions(frames: DataFrame, by: list[str], hold: float, min_region
         return F.struct(a["start_sec"].alias("start_sec"), F.greatest(a["end_sec"], x["end_sec"]).alias("end_sec"), mean.alias("mean_energy"))
 
     mean = F.aggregate(F.expr("slice(__parts, 2, greatest(size(__parts) - 1, 0))"), F.col("__parts")[0], join, lambda a: a["mean_energy"])
-    return g.select(*by, "start_sec", "end_sec", "peak_energy", mean.alias("mean_energy"), "onset_count")
+    return g.select(*by, "start_sec", "end_sec", "peak_energy", mean.alias("mean_energy"), "onset_count", "confidence")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import drum_queries, edit_queries, frame_queries, midi_queries, note_queries, pattern_queries  # noqa: F401
+from . import drum_queries, edit_queries, frame_queries, midi_queries, note_queries, pack_queries, pattern_queries, repair_queries  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

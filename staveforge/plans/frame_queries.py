@@ -83,16 +83,16 @@ def a7(t: Tables) -> DataFrame:
 
 
 _ACTIVE = """, th AS (SELECT recording_id, greatest(1e-6, 0.18 * max(rms), 0.6 * avg(rms)) AS th FROM frames GROUP BY 1),
- a AS (SELECT f.*, rms >= th AS act FROM frames f JOIN th USING (recording_id)),
+ a AS (SELECT f.*, th, rms >= th AS act FROM frames f JOIN th USING (recording_id)),
  r AS (SELECT *, sum(CASE WHEN act THEN 1 ELSE 0 END) OVER (PARTITION BY recording_id ORDER BY frame_index) AS run FROM a),
  b AS (SELECT *, NOT act AND end_sec - min(CASE WHEN NOT act THEN start_sec END) OVER (PARTITION BY recording_id, run ORDER BY frame_index) >= 0.6 AS brk FROM r),
  i AS (SELECT *, sum(CASE WHEN brk THEN 1 ELSE 0 END) OVER (PARTITION BY recording_id ORDER BY frame_index) AS isl FROM b),
  l AS (SELECT * FROM (SELECT *, max(CASE WHEN act THEN 1 ELSE 0 END) OVER (PARTITION BY recording_id, isl ORDER BY frame_index) AS seen FROM i WHERE NOT brk) WHERE seen = 1),
- g AS (SELECT recording_id, isl, min(start_sec) AS start_sec, max_by(end_sec, frame_index) AS end_sec, max(rms) AS peak, CAST(count(*) FILTER (onset_score > 0) AS BIGINT) AS onsets FROM l GROUP BY ALL),
+ g AS (SELECT recording_id, isl, min(start_sec) AS start_sec, max_by(end_sec, frame_index) AS end_sec, max(rms) AS peak, CAST(count(*) FILTER (onset_score > 0) AS BIGINT) AS onsets, least(1.0, greatest(0.0, avg(rms) / any_value(th) * 0.6 + 0.1 * count(*) FILTER (onset_score > 0))) AS conf FROM l GROUP BY recording_id, isl),
  k AS (SELECT * FROM g WHERE end_sec - start_sec >= 0.3 OR onsets > 0),
  n AS (SELECT *, CASE WHEN greatest(0.0, start_sec - max(end_sec) OVER (PARTITION BY recording_id ORDER BY start_sec ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) > 0.4 THEN 1 ELSE 0 END AS nw FROM k),
  mg AS (SELECT *, sum(nw) OVER (PARTITION BY recording_id ORDER BY start_sec) AS grp FROM n),
- regions AS (SELECT recording_id, min(start_sec) AS start_sec, max(end_sec) AS end_sec, max(peak) AS peak_energy, CAST(sum(onsets) AS BIGINT) AS onset_count FROM mg GROUP BY recording_id, grp)"""
+ regions AS (SELECT recording_id, min(start_sec) AS start_sec, max(end_sec) AS end_sec, max(peak) AS peak_energy, CAST(sum(onsets) AS BIGINT) AS onset_count, max(conf) AS confidence FROM mg GROUP BY recording_id, grp)"""
 
 
 def _regions(t: Tables) -> DataFrame:

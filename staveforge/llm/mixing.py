@@ -17,6 +17,8 @@ from .common import BROADCAST_ROWS, Scratch
 
 #: Units of one source that are put in order at once when a queue is cut.
 EDGE = 20_000
+#: Sources whose duals may be broadcast, at about 100 bytes each; beyond it the same join shuffles.
+SOURCES = 100_000
 _PLACES = 1 << 52
 
 
@@ -196,6 +198,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), id_col: s
 
     facts = solved.join(limit.select(F.col("source").alias("ls"), "last"), F.col("source").eqNullSafe(F.col("ls")))
     facts = facts.select(F.struct(F.col("source"), F.col("total").alias("total"), "target", "scale", "dual", "last").alias(f"{x}_s"))
+    facts = F.broadcast(facts) if limit.limit(SOURCES + 1).count() <= SOURCES else facts
     done = rows.join(facts, F.col(f"{x}_source").eqNullSafe(F.col(f"{x}_s.source")))
     few = picked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     p = picked.select(F.struct("source", "key", "more").alias(f"{x}_p"))

@@ -84,7 +84,7 @@ def a38(t: Tables) -> DataFrame:
 
 @query("m13_f19_match_families")
 def m13(t: Tables) -> DataFrame:
-    """The best family of each incomplete bar; tests hold it against a plain loop."""
+    """The best family of each incomplete bar."""
     b = _coarse(t)
     return PT.match_families(b, PT.families(b))
 

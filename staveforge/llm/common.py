@@ -58,14 +58,14 @@ class Scratch:
                 _remove(self.spark, path)
 
 
-#: Rows of one long that may be broadcast (16 MB at most); beyond it the same join shuffles.
+#: Longs that may be broadcast (16 MB); a table of more rows than this over its columns is joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 
 
-def id_join(big: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
-    """big left_semi or left_anti ids. ids is counted first: broadcast below BROADCAST_ROWS, else a shuffled join."""
-    n = ids.limit(BROADCAST_ROWS + 1).count()
-    return big.join(F.broadcast(ids) if n <= BROADCAST_ROWS else ids.hint("shuffle_hash"), key, how)
+def id_join(big: DataFrame, ids: DataFrame, key: str | list[str], how: str = "left_semi") -> DataFrame:
+    """big joined with ids, a table of longs, on key. ids is counted first: broadcast below 16 MB, else a shuffled join."""
+    most = BROADCAST_ROWS // len(ids.columns)
+    return big.join(F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids.hint("shuffle_hash"), key, how)
 
 
 def ascii_lower(col: Column) -> Column:

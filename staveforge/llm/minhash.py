@@ -64,8 +64,19 @@ def _pack(m: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(low << (np.arange(low.shape[1], dtype=np.uint64) * np.uint64(BITS)), axis=1)
 
 
+def row_key(ident: Column, text: Column) -> tuple[Column, Column]:
+    """Two hashes of id and text, with different seeds; they identify a row up to exact repeats, null ids included."""
+    ident, text = ident.cast("long"), text.cast("string")
+    return F.xxhash64(ident, text), F.xxhash64(F.lit(7), ident, text)
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    k1, k2 = row_key(F.col(id_col), F.col(text_col))
+    return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"), k1.alias("k1"), k2.alias("k2"))
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, bands: int, rows: int) -> DataFrame:
-    """(doc, n, set_a, set_b, sig array<long>, band array<long>) for every row; null texts are empty."""
+    """(doc, k1, k2, n, set_a, set_b, sig array<long>, band array<long>) for every row; null texts are empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,25 +95,25 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, bands: int,
                         sig.append(np.empty(0, np.int64))
                         band.append(np.empty(0, np.int64))
                 yield pa.record_batch({
-                    "doc": part.column(0).cast(pa.int64()), "n": pa.array(n, pa.int64()),
+                    "doc": part.column("doc"), "k1": part.column("k1"), "k2": part.column("k2"), "n": pa.array(n, pa.int64()),
                     "set_a": pa.array(np.array(a, np.uint64).view(np.int64)), "set_b": pa.array(np.array(b, np.uint64).view(np.int64)),
                     "sig": pa.array(sig, pa.list_(pa.int64())), "band": pa.array(band, pa.list_(pa.int64())),
                 })
 
-    return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc long, n long, set_a long, set_b long, sig array<long>, band array<long>")
+    return _rows(docs, id_col, text_col).mapInArrow(run, "doc long, k1 long, k2 long, n long, set_a long, set_b long, sig array<long>, band array<long>")
 
 
-def full_sets(docs: DataFrame, id_col: str, text_col: str, k: int, ids: DataFrame) -> DataFrame:
-    """(doc, shingles array<long>) of the documents in ids: the whole sorted set."""
+def full_sets(docs: DataFrame, id_col: str, text_col: str, k: int, nodes: DataFrame) -> DataFrame:
+    """(node, shingles array<long>) of the rows that nodes (k1, k2, node) names: the whole sorted set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in W.slices(batch, "text"):
                 sets = [s.view(np.int64) for s in shingle_sets(W.scan(part, "text", W.SPACED), k)]
-                yield pa.record_batch({"doc": part.column(0).cast(pa.int64()), "shingles": pa.array(sets, pa.list_(pa.int64()))})
+                yield pa.record_batch({"node": part.column("node"), "shingles": pa.array(sets, pa.list_(pa.int64()))})
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    return id_join(rows, ids, "doc").mapInArrow(run, "doc long, shingles array<long>")
+    rows = id_join(_rows(docs, id_col, text_col), nodes, ["k1", "k2"], "inner")
+    return rows.select("node", "text").mapInArrow(run, "node long, shingles array<long>")
 
 
 def agreeing(a: Column, b: Column) -> Column:
@@ -126,8 +137,8 @@ def least_agreeing(threshold: float) -> float:
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose full sets reach percent."""
 
-    left = sets.select(F.col("doc").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("doc").alias("b"), F.col("shingles").alias("y"))
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     lo, hi = F.least(F.size("x"), F.size("y")), F.greatest(F.size("x"), F.size("y"))
     both = pairs.join(left, "a").join(right, "b").where(lo * 100 >= hi * percent)
     common = F.size(F.array_intersect("x", "y"))
@@ -186,8 +197,8 @@ def _search(members: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b) between members of one bucket that have different labels; a hot bucket is searched in blocks."""
 
     def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("n", "ascending"), ("doc", "ascending")])
-        doc, label, n, part = (t.column(c).to_numpy() for c in ("doc", "label", "n", "part"))
+        t = t.sort_by([("n", "ascending"), ("node", "ascending")])
+        doc, label, n, part = (t.column(c).to_numpy() for c in ("node", "label", "n", "part"))
         sig = np.array(t.column("sig").to_pylist(), np.int64).view(np.uint64).reshape(-1, _LONGS)
         sets = [x.values.to_numpy().view(np.uint64) for c in t.column("shingles").chunks for x in c]
         first, second = t.column("i")[0].as_py(), t.column("j")[0].as_py()
@@ -195,11 +206,11 @@ def _search(members: DataFrame, percent: int) -> DataFrame:
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    part = F.pmod(F.xxhash64("doc"), blocks).cast("int")
+    part = F.pmod(F.xxhash64("node"), blocks).cast("int")
     met = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("part")).alias("i"), F.greatest(x, F.col("part")).alias("j"))))
     return (
         members.withColumn("blocks", blocks).withColumn("part", part).withColumn("m", met)
-        .select("bucket", "doc", "label", "n", "sig", "shingles", "part", "m.i", "m.j")
+        .select("bucket", "node", "label", "n", "sig", "shingles", "part", "m.i", "m.j")
         .groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long")
     )
 
@@ -213,55 +224,80 @@ def bands_for(threshold: float) -> tuple[int, int]:
     return 24, 1
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """(id_col, n_shingles, component_id, kept), one row for each row of docs.
+def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, sc: Scratch) -> DataFrame:
+    """(doc, k1, k2, n, first), one row for each row of docs; first orders a component's rows by id, null last, and is its least, or null where n is 0.
 
-    Links join texts with 100 * |A & B| >= percent * |A | B| over shingle-word sets; component_id is the smallest
-    id that is reachable. Texts that are null or without words have n_shingles 0 and stand alone. A null id stands
-    alone as well: component_id is null and kept is true. Rows with one id are one node. Other columns are not read.
-    An empty table gives no rows. The result reads written tables and does no search of its own.
+    Equal sets are one node, whatever their ids; nodes are numbered when they are written, so a number is never made twice.
     """
-    spark = docs.sparkSession
-    sc = Scratch(spark, "near")
     bands, rows = bands_for(percent / 100)
     base = sc.write(signatures(docs, id_col, text_col, shingle, bands, rows), "signatures")
-    have = base.where("n > 0 and doc is not null")
-    equal = have.groupBy("set_a", "set_b", "n").agg(F.min("doc").alias("rep"))
-    reps = sc.write(have.join(equal, ["set_a", "set_b", "n"]).where("doc = rep").dropDuplicates(["doc", "set_a", "set_b"]).select("doc", "n", "sig", "band"), "reps")
+    place = F.struct(F.col("doc").isNull().alias("unnamed"), "doc", "k1", "k2")
+    one = base.where("n > 0").groupBy("set_a", "set_b", "n").agg(F.min(place).alias("first"), F.any_value("sig").alias("sig"), F.any_value("band").alias("band"))
+    reps = sc.write(one.withColumn("node", F.monotonically_increasing_id()), "reps")
 
-    keys = reps.select("doc", F.explode("band").alias("bucket"))
-    shared = keys.groupBy("bucket").agg(F.min("doc").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    keys = reps.select("node", F.explode("band").alias("bucket"))
+    shared = keys.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1")
     member = sc.write(keys.join(shared, "bucket"), "members")
-    slim = reps.select("doc", "n", "sig")
+    slim = reps.select("node", "n", "sig")
     close = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
     pairs = (
-        member.where("doc <> pivot").select(F.col("doc").alias("a"), F.col("pivot").alias("b")).distinct()
-        .join(slim.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa")), "a")
-        .join(slim.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb")), "b")
+        member.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+        .join(slim.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa")), "a")
+        .join(slim.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb")), "b")
         .where(close & (agreeing(F.col("sa"), F.col("sb")) >= least_agreeing(percent / 100))).select("a", "b")
     )
     pairs = sc.write(pairs, "pairs")
-    need = sc.write(member.where("size > 2").select("doc").union(pairs.select("a")).union(pairs.select("b")).distinct(), "need")
-    sets = sc.write(full_sets(docs, id_col, text_col, shingle, need), "sets").dropDuplicates(["doc"])
+    need = member.where("size > 2").select("node").union(pairs.select("a")).union(pairs.select("b")).distinct()
+    need = sc.write(reps.join(need, "node", "left_semi").select("first.k1", "first.k2", "node"), "need")
+    sets = sc.write(full_sets(docs, id_col, text_col, shingle, need), "sets").dropDuplicates(["node"])
     star = sc.write(_confirm(pairs, sets, percent), "star")
     label = components(star, sc)
 
-    member = member.where("size > 2").join(label.withColumnRenamed("node", "doc"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
-    open_ = member.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
-    open_ = sc.write(member.join(open_, "bucket").select("bucket", "doc", "label", "size"), "open")
-    more = _search(open_.join(slim, "doc").join(sets, "doc"), percent)
-    sets_of = have.join(equal, ["set_a", "set_b", "n"]).where("doc <> rep").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
-    label = components(star.union(more).union(sets_of), sc)
-    sc.drop(sets, star, open_, need, pairs, reps)
-    out = (
-        base.select("doc", "n").join(label.withColumnRenamed("node", "doc"), "doc", "left")
-        .select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("label", "doc").alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
-    )
-    return out
+    open_ = member.where("size > 2").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = open_.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
+    open_ = sc.write(open_.join(mixed, "bucket").select("bucket", "node", "label", "size"), "open")
+    more = _search(open_.join(slim, "node").join(sets, "node"), percent)
+    label = components(star.union(more), sc)
+    sc.drop(sets, star, open_, need, pairs, member)
+    named = reps.select("set_a", "set_b", "n", "node", "first").join(label, "node", "left")
+    best = named.where("label is not null").groupBy("label").agg(F.min("first").alias("best"))
+    firsts = sc.write(named.join(best, "label", "left").select("set_a", "set_b", "n", F.coalesce("best", "first").alias("first")), "firsts")
+    sc.drop(reps)
+    some = base.where("n > 0").select("doc", "k1", "k2", "n", "set_a", "set_b").join(firsts, ["set_a", "set_b", "n"]).select("doc", "k1", "k2", "n", "first")
+    return some.unionByName(base.where("n = 0").select("doc", "k1", "k2", "n", F.lit(None).cast(firsts.schema["first"].dataType).alias("first")))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """(id_col, n_shingles, component_id, kept), one row for each row of docs.
+
+    Links join texts with 100 * |A & B| >= percent * |A | B| over shingle-word sets; component_id is the smallest
+    id that is reachable. Texts that are null or without words have n_shingles 0 and stand alone. Rows that repeat an
+    id are searched by their own texts; all rows of the id component_id are kept. A row with a null id is linked as
+    others are and never kept, unless its component has no other ids (then component_id is null) or it stands alone.
+    Other columns are not read. An empty table gives no rows. The result reads written tables and does no search of
+    its own.
+    """
+    rows = _grouped(docs, id_col, text_col, shingle, percent, Scratch(docs.sparkSession, "near"))
+    own = F.when(F.col("n") > 0, F.col("first.doc")).otherwise(F.col("doc"))
+    return rows.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("doc").eqNullSafe(own).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that near_duplicates keeps, all columns as they were. Of rows that repeat an id and text all or none stay."""
-    gone = near_duplicates(docs, id_col, text_col, shingle, percent).where("not kept").select(id_col).distinct()
-    return id_join(docs, gone, id_col, "left_anti")
+    """One row of each component of near_duplicates, all columns as they were.
+
+    It is the row of the smallest id, null last; of rows that repeat this id, the text with the smallest hash, and of
+    rows that repeat id and text, the one whose JSON form is smallest. Texts that are null or without words all stay.
+    """
+    sc = Scratch(docs.sparkSession, "near")
+    rows = sc.write(_grouped(docs, id_col, text_col, shingle, percent, sc).where("n > 0").select("k1", "k2", ((F.col("first.k1") == F.col("k1")) & (F.col("first.k2") == F.col("k2"))).alias("best")), "decided")
+    gone = rows.where("not best").select("k1", "k2").distinct()
+    again = rows.where("best").groupBy("k1", "k2").count().where("count > 1").select("k1", "k2")
+    names = docs.columns
+    keys = ["_" * max(map(len, names)) + c for c in ("k1", "k2")]  # longer than any name of docs
+    keyed = docs.withColumns(dict(zip(keys, row_key(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), strict=True)))
+    kept = id_join(keyed, gone.toDF(*keys), keys, "left_anti")
+    if again.limit(1).count():
+        again, whole = again.toDF(*keys), F.struct(*[F.col(f"`{c}`") for c in names])
+        one = id_join(kept, again, keys).groupBy(*keys).agg(F.min_by(whole, F.to_json(whole)).alias("row")).select(*[F.col(f"row.`{c}`") for c in names])
+        kept = id_join(kept, again, keys, "left_anti").drop(*keys).unionByName(one)
+    return kept.select(*[F.col(f"`{c}`") for c in names])

@@ -94,15 +94,26 @@ def test_near_duplicates(spark, docs, texts, k, percent, block, monkeypatch):
     want = brute_components(sets, percent, list(sets))
     assert len(got) == len(texts) + 2
     for r in got:
-        if r.doc_id is None:
-            assert r.component_id is None and r.kept
+        if r.doc_id is None:  # "one", as document 3
+            assert (r.component_id, r.kept) == (3, False)
         else:
             assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), want[r.doc_id], want[r.doc_id] == r.doc_id)
     kept = minhash.drop_near_duplicates(docs, shingle=k, percent=percent)
-    assert kept.columns == docs.columns and kept.count() == sum(r.kept for r in got)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted({r.doc_id for r in got if r.kept})
     assert minhash.near_duplicates(empty(docs)).count() == 0
 
 
+def test_near_duplicates_of_repeated_and_null_ids(spark):
+    a, b, c = ("x y z " * 9 + "one two three four five six seven eight nine ten " + t for t in ("end", "End", "a b c d e f g h i j k l m n o p"))
+    rows = [(7, a, 1), (7, a, 1), (7, a, 2), (7, c, 3), (4, c.upper(), 4), (None, b, 5), (None, "alone", 6), (None, "alone", 7), (9, "", 8), (9, "", 8), (None, None, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `node.k1` int").withColumnRenamed("node.k1", "node")
+    got = minhash.near_duplicates(docs, shingle=3, percent=85).groupBy("doc_id", "component_id", "kept").count().collect()
+    assert {tuple(r) for r in got} == {(7, 7, True, 3), (7, 4, False, 1), (4, 4, True, 1), (None, 7, False, 1), (None, None, True, 3), (9, 9, True, 2)}
+    kept = minhash.drop_near_duplicates(docs, shingle=3, percent=85)
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(7, a, 1), (4, c.upper(), 4), (None, "alone", 6), (9, "", 8), (9, "", 8), (None, None, 9)], key=str)
+
+
 def test_agreement_is_corrected_for_chance():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 1 << 63, 4000, dtype=np.uint64)

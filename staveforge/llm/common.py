@@ -70,3 +70,11 @@ def id_join(big: DataFrame, ids: DataFrame, key: str | list[str], how: str = "le
 
 def ascii_lower(col: Column) -> Column:
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def free(df: DataFrame, name: str) -> str:
+    """name, with underscores appended while df has a column of that name (Spark compares names without case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

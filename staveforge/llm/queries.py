@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, media, quality, warc
+from . import fim, licenses, media, periodic, quality, urls, warc
 from .common import Scratch, table
 from .decontaminate import find_leaks
 from .lines import dedup_lines
@@ -94,6 +94,22 @@ def op10_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(media.store(table(spark, sf_dir, "documents")))
 
 
+def op11_split_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fill-in-middle form of every text and its exact way back (operator 11); null texts are empty."""
+    return fim.digests(table(spark, sf_dir, "documents"))
+
+
+def op12_url_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every page's URL (operator 12); a null URL has an empty host and path."""
+    judged = urls.judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "judged.*")
+    return judged.select("page_id", "host", "path", "rule", "verdict", F.size("strict").cast("long").alias("n_strict"), F.size("soft").cast("long").alias("n_soft"))
+
+
+def op13_harmonic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every text and its digest without them (operator 13); null texts have no words."""
+    return periodic.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fuzzy_lines": op1_fuzzy_lines,
     "op2_histogram_sort": op2_histogram_sort,
@@ -105,6 +121,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_automaton": op8_suffix_automaton,
     "op9_license_rules": op9_license_rules,
     "op10_iso_media": op10_iso_media,
+    "op11_split_fim": op11_split_fim,
+    "op12_url_vocabulary": op12_url_vocabulary,
+    "op13_harmonic_runs": op13_harmonic_runs,
 }
 
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -142,4 +161,5 @@ ORACLE_SQL: dict[str, str] = {
         items AS (SELECT doc_id, count(DISTINCT item) AS n_items, array_to_string(list_sort(list(DISTINCT item)), ',') AS names FROM hit GROUP BY 1)
         SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN spots USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op12_url_vocabulary": urls.oracle(),
 }

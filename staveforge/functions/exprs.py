@@ -128,9 +128,8 @@ def match_score(score: Column) -> Column:
 
 def prefix_length(observed: Column, full: Column, tolerance: float = 0.0) -> Column:
     """equal elements from the start."""
-    n = F.least(F.size(observed), F.size(full))
-    same = F.zip_with(F.slice(observed, F.lit(1), n), F.slice(full, F.lit(1), n), lambda a, b: F.abs(a - b) <= tolerance)
-    return F.when(n == 0, 0).otherwise(F.coalesce(F.nullif(F.array_position(same, False), F.lit(0)).cast("int") - 1, n)).cast("int")
+    same = F.zip_with(observed, full, lambda a, b: F.abs(a - b) <= tolerance)  # null past the shorter end
+    return F.coalesce(F.nullif(F.array_position(same, False), F.lit(0)) - 1, F.least(F.size(observed), F.size(full))).cast("int")
 
 
 def suffix_length(observed: Column, full: Column, tolerance: float = 0.0) -> Column:

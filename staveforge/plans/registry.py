@@ -36,10 +36,21 @@ VIEWS = {
                CASE event_type WHEN 'click' THEN 'kick' WHEN 'view' THEN 'snare_or_clap' WHEN 'purchase' THEN 'hat' WHEN 'signup' THEN 'cymbal' ELSE 'tom_or_perc' END AS class_name,
                least(1.0, rms) AS confidence
         FROM frames WHERE onset_score > 0""",
+    "phrase_timing": """
+        SELECT printf('c%06d', o_custkey) AS recording_id, o_custkey, CASE WHEN o_custkey % 4 = 0 THEN 3 ELSE 4 END AS beats_per_bar, CASE o_custkey % 3 WHEN 0 THEN 500000 WHEN 1 THEN 400000 ELSE 600000 END AS tempo,
+               CASE o_custkey % 3 WHEN 0 THEN 500000 WHEN 1 THEN 400000 ELSE 600000 END / CAST(1e6 AS DOUBLE) AS beat_sec FROM (SELECT DISTINCT o_custkey FROM orders)""",
+    "phrases": """
+        SELECT recording_id, printf('p%08d_%d%d', l_orderkey, place, twin) AS note_id, a AS start_tick, z AS end_tick, a / CAST(480 AS DOUBLE) AS start_beat, z / CAST(480 AS DOUBLE) AS end_beat,
+               a * tempo / CAST(480e6 AS DOUBLE) AS start_sec, z * tempo / CAST(480e6 AS DOUBLE) AS end_sec, pitch + 4 * twin AS pitch_midi, velocity, channel
+        FROM (SELECT t.recording_id, l_orderkey, place, tempo, CAST(40 + t.o_custkey % 5 + [0, 3, 5, 7][place + 1] + CASE WHEN p % 8 = 0 THEN 12 ELSE 0 END AS INTEGER) AS pitch, CAST(40 + q AS INTEGER) AS velocity, CAST(t.o_custkey % 16 AS INTEGER) AS channel,
+                     CAST((bar * beats_per_bar * 16 + place * 12) * 30 + s % 7 * 2 AS BIGINT) AS a, CAST((bar * beats_per_bar * 16 + place * 12) * 30 + s % 7 * 2 + ([6, 4, 5, 12][place + 1] + CASE WHEN s % 9 = 0 THEN 20 ELSE 0 END) * 30 AS BIGINT) AS z,
+                     unnest(CASE WHEN x >= 0.08 THEN [0, 1] ELSE [0] END) AS twin
+              FROM (SELECT l_orderkey, l_linenumber % 4 AS place, min(l_suppkey) AS s, min(l_partkey) AS p, max(l_quantity) AS q, max(l_tax) AS x FROM lineitem GROUP BY ALL) l
+              JOIN (SELECT o_orderkey, o_custkey, k + k // 3 AS bar FROM (SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS k FROM orders)) o ON o_orderkey = l_orderkey JOIN phrase_timing t USING (o_custkey))""",
     "pitch_frames": """
         SELECT recording_id, frame_index, start_sec, end_sec, CAST(35 AS DOUBLE) + CAST(3.65 AS DOUBLE) * k AS f0_hz, least(1.0, rms) AS confidence, rms >= 0.15 AS voiced FROM frames""",
 }
-_NEEDS = {"frames": ["base_events"], "notes": ["base_events"], "hits": ["frames"], "pitch_frames": ["frames"]}
+_NEEDS = {"frames": ["base_events"], "notes": ["base_events"], "hits": ["frames"], "pitch_frames": ["frames"], "phrases": ["phrase_timing"]}
 
 
 def sql(body: str, *views: str) -> str:

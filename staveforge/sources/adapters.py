@@ -62,3 +62,31 @@ class Tables:
     @cached_property
     def pitch_frames(self) -> DataFrame:
         return self.frames.select("recording_id", "frame_index", "start_sec", "end_sec", (F.lit(35) + F.lit(3.65) * F.col("k")).alias("f0_hz"), F.least(F.lit(1.0), F.col("rms")).alias("confidence"), (F.col("rms") >= 0.15).alias("voiced"))
+
+    @cached_property
+    def phrases(self) -> DataFrame:
+        """Notes on bars: a customer is a recording, an order a bar (each fourth bar stays empty), its lines the notes of a four-note phrase, some of them changed, lengthened or doubled."""
+        orders = self.read("orders")
+        no = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")) - 1
+        bar = orders.select("o_orderkey", "o_custkey", (no + F.floor(no / 3)).cast("int").alias("bar"))
+        place = F.col("l_linenumber") % 4
+        lines = self.read("lineitem").groupBy("l_orderkey", place.alias("place")).agg(F.min("l_suppkey").alias("s"), F.min("l_partkey").alias("p"), F.max("l_quantity").alias("q"), F.max("l_tax").alias("x"))
+        j = lines.join(bar, F.col("l_orderkey") == F.col("o_orderkey")).join(self.phrase_timing.withColumnRenamed("recording_id", "r"), F.format_string("c%06d", "o_custkey") == F.col("r"))
+        at = lambda values: F.get(F.array(*map(F.lit, values)), F.col("place"))
+        length = at([6, 4, 5, 12]) + F.when(F.col("s") % 9 == 0, 20).otherwise(0)
+        tick = (F.col("bar") * F.col("beats_per_bar") * 16 + F.col("place") * 12) * 30 + F.col("s") % 7 * 2
+        pitch = 40 + F.col("o_custkey") % 5 + at([0, 3, 5, 7]) + F.when(F.col("p") % 8 == 0, 12).otherwise(0)
+        j = j.select("r", "l_orderkey", "place", "tempo", pitch.cast("int").alias("pitch"), tick.cast("long").alias("a"), (tick + length * 30).cast("long").alias("z"), (40 + F.col("q")).cast("int").alias("velocity"), (F.col("o_custkey") % 16).cast("int").alias("channel"), F.explode(F.when(F.col("x") >= 0.08, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("twin"))
+        sec = lambda c: F.col(c) * F.col("tempo") / F.lit(480e6)
+        return j.select(
+            F.col("r").alias("recording_id"), F.format_string("p%08d_%d%d", "l_orderkey", "place", "twin").alias("note_id"), F.col("a").alias("start_tick"), F.col("z").alias("end_tick"), (F.col("a") / F.lit(480.0)).alias("start_beat"), (F.col("z") / F.lit(480.0)).alias("end_beat"),
+            sec("a").alias("start_sec"), sec("z").alias("end_sec"), (F.col("pitch") + F.col("twin") * 4).alias("pitch_midi"), "velocity", "channel",
+        )
+
+    @cached_property
+    def phrase_timing(self) -> DataFrame:
+        """Tempo (microseconds a beat) and meter of each customer's recording."""
+        k = F.col("o_custkey")
+        c = self.read("orders").select("o_custkey").distinct()
+        tempo = F.when(k % 3 == 0, 500000).when(k % 3 == 1, 400000).otherwise(600000)
+        return c.select(F.format_string("c%06d", k).alias("recording_id"), F.when(k % 4 == 0, 3).otherwise(4).alias("beats_per_bar"), tempo.alias("tempo"), (tempo / F.lit(1e6)).alias("beat_sec"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -42,18 +44,38 @@ def best_onsets(anchors: DataFrame, frames: DataFrame, window: float, min_onset:
 def global_offset(notes: DataFrame, evidence: DataFrame, max_offset: float = 3.0, step: float = 0.02) -> DataFrame:
     """(recording_id, step_no, offset_sec, confidence): the shift of all notes that meets the evidence best.
 
-    Each note meets every offset of the grid and its nearest evidence; work is spread over (recording, time bucket), so
-    one recording is no one task. The first of equally good offsets wins. Recordings without evidence have no row.
+    Notes meet the evidence of their own time bucket and of its neighbours, once; inside a bucket, which is a few
+    seconds of a recording, every note looks up its nearest evidence at every offset, and only sums by offset leave it.
+    The first of equally good offsets wins. Recordings without evidence have no row.
     """
     window = max(0.08, 3 * step)
     n = int(2 * max_offset / step + 1e-9)
-    grid = notes.select(*KEY, "start_sec", F.explode(F.sequence(F.lit(0), F.lit(n))).alias("step_no"))
-    grid = grid.withColumn("at", F.col("start_sec") + (F.lit(-max_offset) + F.lit(step) * F.col("step_no")))
+    width = max_offset + window
+    shifts = -max_offset + step * np.arange(n + 1)
+    bucket = F.floor(F.col("start_sec") / width)
     top = evidence.groupBy("recording_id").agg(F.max("weight").alias("top"))
-    near = band_join(grid, evidence.select("recording_id", "start_sec", "weight"), ["recording_id"], "at", "start_sec", window)
-    d = F.abs(F.col("r_start_sec") - F.col("at"))
-    one = near.groupBy(*KEY, "step_no").agg(F.min(F.struct(d.alias("d"), (-F.col("r_start_sec")).alias("t"), F.col("r_weight").alias("w"))).alias("b"))
-    score = one.join(top, "recording_id").groupBy("recording_id", "step_no").agg(F.sum(F.col("b.w") / F.col("top") * (1 - F.col("b.d") / window)).alias("s"), F.count(F.lit(1)).alias("m"))
+    # Of evidence at one time, the least weight counts.
+    marks = evidence.groupBy("recording_id", "start_sec").agg(F.min("weight").alias("weight"))
+    marks = marks.select("*", F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket"))
+
+    def nearest(key: tuple, notes: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
+        marks = marks.sort_values("start_sec")
+        t, w = marks["start_sec"].to_numpy(), marks["weight"].to_numpy()
+        s, m = np.zeros(n + 1), np.zeros(n + 1, np.int64)
+        for start in notes["start_sec"].to_numpy() if len(t) else ():
+            at = start + shifts
+            right = np.minimum(np.searchsorted(t, at), len(t) - 1)
+            left = np.maximum(right - 1, 0)
+            pick = np.where(np.abs(t[right] - at) <= np.abs(t[left] - at), right, left)
+            d = np.abs(t[pick] - at)
+            s += np.where(d <= window, w[pick] * (1 - d / window), 0.0)
+            m += d <= window
+        met = np.flatnonzero(m)
+        return pd.DataFrame({"recording_id": key[0], "step_no": met.astype(np.int32), "s": s[met], "m": m[met]})
+
+    pairs = notes.select("recording_id", "start_sec", bucket.alias("bucket")).groupBy("recording_id", "bucket").cogroup(marks.groupBy("recording_id", "bucket"))
+    part = pairs.applyInPandas(nearest, "recording_id string, step_no int, s double, m long")
+    score = part.groupBy("recording_id", "step_no").agg(F.sum("s").alias("s"), F.sum("m").alias("m")).join(top, "recording_id").select("recording_id", "step_no", (F.col("s") / F.col("top")).alias("s"), "m")
     base = notes.groupBy("recording_id").agg(F.count(F.lit(1)).alias("n")).join(top, "recording_id").select("recording_id", "n", F.explode(F.sequence(F.lit(0), F.lit(n))).alias("step_no"))
     c = base.join(score, ["recording_id", "step_no"], "left").withColumn("confidence", 0.7 * F.coalesce("s", F.lit(0.0)) / F.col("n") + 0.3 * F.coalesce("m", F.lit(0)) / F.col("n"))
     best = c.groupBy("recording_id").agg(F.min(F.struct((-F.round("confidence", 9)).alias("r"), "step_no", "confidence")).alias("b"))

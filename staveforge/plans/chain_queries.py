@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +14,7 @@ from staveforge.operators import pattern as PT
 from staveforge.operators import repair as R
 from staveforge.sources import drum_maps as M
 from staveforge.sources.adapters import Tables
+from staveforge.sources.shared import shared_dir
 
 from . import drum_queries as DQ
 from . import repair_queries as RQ
@@ -284,10 +284,7 @@ def x40(t: Tables) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return f"{(named or tempfile.mkdtemp()).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def write_documents(notes: DataFrame, folder: str) -> None:

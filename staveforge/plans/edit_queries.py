@@ -51,14 +51,9 @@ def d8(t: Tables) -> DataFrame:
     return ED.draw(t.notes.select(*REC, "note_id", "start_tick", "end_tick"), 500, 100)
 
 
-@query("d9_merge_notes", sql(f" SELECT recording_id, track_index, channel, pitch_midi, arg_min(note_id, (start_tick, note_id)) || '_merged' AS note_id, min(start_tick) AS start_tick, max(end_tick) AS end_tick, count(*) AS merged FROM notes WHERE {SEL} GROUP BY recording_id, track_index, channel, pitch_midi HAVING count(*) >= 2", "notes"))
-def d9(t: Tables) -> DataFrame:
-    return ED.merge_notes(t.notes.where(SEL), [*REC, "track_index", "channel", "pitch_midi"])
-
-
 @query("d9_merge_all_notes", sql(" SELECT recording_id, track_index, channel, pitch_midi, arg_min(note_id, (start_tick, note_id)) || '_merged' AS note_id, min(start_tick) AS start_tick, max(end_tick) AS end_tick, count(*) AS merged FROM notes GROUP BY recording_id, track_index, channel, pitch_midi HAVING count(*) >= 2", "notes"))
 def d9_all(t: Tables) -> DataFrame:
-    """Every note; d9_merge_notes merges a selection."""
+    """Every note."""
     return ED.merge_notes(t.notes, [*REC, "track_index", "channel", "pitch_midi"])
 
 
@@ -85,14 +80,9 @@ def d14(t: Tables) -> DataFrame:
     return ED.update(t.notes, F.expr(SEL), {"velocity": E.clip(F.col("velocity") + 50, 1, 127).cast("int")}).select(*REC, "note_id", "velocity")
 
 
-@query("d15_d17_loop_paste", sql(f", s AS (SELECT recording_id, max(end_tick) - min(start_tick) AS len FROM notes WHERE {SEL} GROUP BY 1) SELECT n.recording_id, note_id || '_c' || CAST(i AS VARCHAR) AS note_id, CAST(start_tick + i * greatest(len, 1) AS BIGINT) AS start_tick FROM notes n JOIN s USING (recording_id), range(1, 4) r(i) WHERE {SEL}", "notes"))
-def d15(t: Tables) -> DataFrame:
-    return ED.loop(t.notes.where(SEL), 3).select(*REC, "note_id", "start_tick")
-
-
 @query("d15_d17_loop_recordings", sql(", s AS (SELECT recording_id, max(end_tick) - min(start_tick) AS len FROM notes GROUP BY 1) SELECT n.recording_id, note_id || '_c' || CAST(i AS VARCHAR) AS note_id, CAST(start_tick + i * greatest(len, 1) AS BIGINT) AS start_tick FROM notes n JOIN s USING (recording_id), range(1, 4) r(i)", "notes"))
 def d15_all(t: Tables) -> DataFrame:
-    """Whole recordings; d15_d17_loop_paste loops a selection."""
+    """Whole recordings."""
     return ED.loop(t.notes, 3).select(*REC, "note_id", "start_tick")
 
 
@@ -119,14 +109,9 @@ def d22(t: Tables) -> DataFrame:
     return t.notes.where("end_tick > 10000 and start_tick < 20000 and pitch_midi between 30 and 60").select(*REC, "note_id")
 
 
-@query("a32_selection_velocity", sql(f" SELECT recording_id, count(*) AS notes, min(velocity) AS low, CAST(round_even(avg(velocity), 0) AS INTEGER) AS mean, max(velocity) AS high FROM notes WHERE {SEL} GROUP BY 1", "notes"))
-def a32(t: Tables) -> DataFrame:
-    return t.notes.where(SEL).groupBy(*REC).agg(F.count(F.lit(1)).alias("notes"), F.min("velocity").alias("low"), F.rint(F.avg("velocity")).cast("int").alias("mean"), F.max("velocity").alias("high"))
-
-
 @query("a32_recording_velocity", sql(" SELECT recording_id, count(*) AS notes, min(velocity) AS low, CAST(round_even(avg(velocity), 0) AS INTEGER) AS mean, max(velocity) AS high FROM notes GROUP BY 1", "notes"))
 def a32_all(t: Tables) -> DataFrame:
-    """Every note; a32_selection_velocity summarises a selection."""
+    """Every note."""
     return t.notes.groupBy(*REC).agg(F.count(F.lit(1)).alias("notes"), F.min("velocity").alias("low"), F.rint(F.avg("velocity")).cast("int").alias("mean"), F.max("velocity").alias("high"))
 
 

@@ -245,10 +245,10 @@ def a12(t: Tables) -> DataFrame:
     return out.select(*REC, "kind", F.round("start_sec", 9).alias("start_sec"))
 
 
-@query("a26_pitch_sections", sql(", g AS (SELECT recording_id, CAST(s AS INTEGER) AS section FROM (SELECT DISTINCT recording_id FROM frames), range(87) r(s)) SELECT g.recording_id, section, count(*) AS frames, round(avg(confidence), 9) AS mean_confidence FROM g JOIN pitch_frames p ON p.recording_id = g.recording_id AND p.end_sec > section AND p.start_sec < section + 1 GROUP BY ALL", "frames", "pitch_frames"))
+@query("a26_pitch_sections", sql(", g AS (SELECT recording_id, CAST(unnest(range(0, CAST(ceil(max(end_sec)) AS BIGINT))) AS INTEGER) AS section FROM frames GROUP BY 1) SELECT g.recording_id, section, count(*) AS frames, round(avg(confidence), 9) AS mean_confidence FROM g JOIN pitch_frames p ON p.recording_id = g.recording_id AND p.end_sec > section AND p.start_sec < section + 1 GROUP BY ALL", "frames", "pitch_frames"))
 def a26(t: Tables) -> DataFrame:
-    """Per-second sections by overlap: a frame can count in two."""
-    p = t.pitch_frames.withColumn("section", F.explode(F.sequence(F.floor("start_sec").cast("int"), F.least(F.lit(86), F.ceil("end_sec").cast("int") - 1))))
+    """Per-second sections to the end of each recording by overlap: a frame can count in several."""
+    p = t.pitch_frames.withColumn("section", F.explode(F.sequence(F.floor("start_sec").cast("int"), F.greatest(F.floor("start_sec"), F.ceil("end_sec") - 1).cast("int"))))
     return p.where("end_sec > section and start_sec < section + 1").groupBy(*REC, "section").agg(F.count(F.lit(1)).alias("frames"), F.round(F.avg("confidence"), 9).alias("mean_confidence"))
 
 

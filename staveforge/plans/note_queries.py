@@ -10,6 +10,7 @@ from staveforge.operators import align as AL
 from staveforge.operators import validate as V
 from staveforge.operators.timejoin import band_join, interval_join, nearest_join
 from staveforge.sources.adapters import Tables
+from staveforge.sources.shared import staged
 
 from .registry import query, sql
 
@@ -112,21 +113,6 @@ def j9(t: Tables) -> DataFrame:
     return best.select("recording_id", "note_id", F.col("strong.frame_index").alias("strong_frame"), F.col("weak.frame_index").alias("weak_frame"))
 
 
-@query("j11_global_offset", sql(f""", r AS (SELECT *, rms - lag(rms, 1, 0.0) OVER (PARTITION BY recording_id ORDER BY frame_index) AS rise FROM frames),
- e AS (SELECT recording_id, start_sec AS t, onset_score + rise + rms AS w FROM r WHERE onset_score >= {MIN_ONSET} AND rms >= {MIN_RMS} AND rise > 0),
- mx AS (SELECT recording_id, max(w) AS mw FROM e GROUP BY 1), g AS (SELECT CAST(i AS INTEGER) AS i, CAST(-1.0 AS DOUBLE) + CAST(0.1 AS DOUBLE) * i AS off FROM range(21) x(i)),
- p AS (SELECT n.recording_id, g.i, g.off, n.note_id, n.start_sec + g.off AS at FROM notes n, g),
- nb AS (SELECT p.recording_id, p.i, p.off, p.note_id, e.w, abs(e.t - p.at) AS d, row_number() OVER (PARTITION BY p.recording_id, p.i, p.note_id ORDER BY abs(e.t - p.at), e.t DESC) AS rn FROM p JOIN e ON e.recording_id = p.recording_id AND abs(e.t - p.at) <= 0.3),
- sc AS (SELECT recording_id, i, off, sum(w / mw * (1 - d / 0.3)) AS s, count(*) AS m FROM nb JOIN mx USING (recording_id) WHERE rn = 1 GROUP BY ALL),
- cn AS (SELECT recording_id, count(*) AS n FROM notes GROUP BY 1),
- cf AS (SELECT cn.recording_id, g.i, g.off, 0.7 * coalesce(s, 0.0) / n + 0.3 * coalesce(m, 0) / n AS c FROM cn CROSS JOIN g JOIN mx USING (recording_id) LEFT JOIN sc USING (recording_id, i)),
- b AS (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY round(c, 9) DESC, i) AS rn FROM cf)
- SELECT recording_id, i AS step_no, round(off, 6) AS offset_sec, round(c, 6) AS confidence FROM b WHERE rn = 1""", "notes", "frames"))
-def j11(t: Tables) -> DataFrame:
-    best = AL.global_offset(t.notes, AL.onset_evidence(t.frames, MIN_ONSET, MIN_RMS), max_offset=1.0, step=0.1)
-    return best.select("recording_id", "step_no", F.round("offset_sec", 6).alias("offset_sec"), F.round("confidence", 6).alias("confidence"))
-
-
 @query("j11_offset_search", sql(f""", r AS (SELECT *, rms - lag(rms, 1, 0.0) OVER (PARTITION BY recording_id ORDER BY frame_index) AS rise FROM frames),
  e AS (SELECT recording_id, start_sec AS t, onset_score + rise + rms AS w FROM r WHERE onset_score >= {MIN_ONSET} AND rms >= {MIN_RMS} AND rise > 0),
  mx AS (SELECT recording_id, max(w) AS mw FROM e GROUP BY 1), g AS (SELECT CAST(i AS INTEGER) AS i, CAST(-3.0 AS DOUBLE) + CAST(0.02 AS DOUBLE) * i AS off FROM range(301) x(i)),
@@ -138,7 +124,7 @@ def j11(t: Tables) -> DataFrame:
  b AS (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY round(c, 9) DESC, i) AS rn FROM cf)
  SELECT recording_id, i AS step_no, round(off, 6) AS offset_sec, round(c, 6) AS confidence FROM b WHERE rn = 1""", "notes", "frames"))
 def j11_search(t: Tables) -> DataFrame:
-    """The reference's whole grid: 301 offsets over 3 s either way; j11_global_offset has a coarse one of 21."""
+    """The whole grid: 301 offsets over 3 s either way."""
     best = AL.global_offset(t.notes, AL.onset_evidence(t.frames, MIN_ONSET, MIN_RMS))
     return best.select("recording_id", "step_no", F.round("offset_sec", 6).alias("offset_sec"), F.round("confidence", 6).alias("confidence"))
 
@@ -182,11 +168,7 @@ def m1(t: Tables) -> DataFrame:
     """Alignment of every note, after the global offset of its recording where that has the reference's least confidence."""
     p = AL.Parameters(onset_window=WINDOW, offset_window=WINDOW, min_onset=MIN_ONSET, min_rms=MIN_RMS, max_start_correction=0.4, max_end_correction=0.4, min_global_confidence=0.05)
     # A row for each recording, written once: align() reads it in several joins, each of which would search again.
-    offsets = AL.global_offset(t.notes, AL.onset_evidence(t.frames, MIN_ONSET, MIN_RMS))
-    sc = offsets.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir("/tmp/checkpoints")
-    offsets = offsets.checkpoint()
+    offsets = staged(AL.global_offset(t.notes, AL.onset_evidence(t.frames, MIN_ONSET, MIN_RMS)))
     a = AL.align(t.notes, t.frames, p, offsets)
     return a.select("recording_id", "note_id", "alignment_action", *[F.round(c, 6).alias(c) for c in ("aligned_start_sec", "aligned_end_sec", "alignment_confidence")])
 

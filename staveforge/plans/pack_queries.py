@@ -60,16 +60,17 @@ def a25(t: Tables) -> DataFrame:
     return r.select(*REC, F.round("start_sec", 6).alias("start_sec"), F.round("end_sec", 6).alias("end_sec"), F.round("rms_mean", 8).alias("rms_mean"), F.round("rms_peak", 8).alias("rms_peak"), "onset_count", "dominant_pitch", F.round("pitch_confidence", 6).alias("pitch_confidence"))
 
 
-@query("a27_pattern_windows", sql(_sections_sql(2.0, 12) + """, j AS (SELECT s.recording_id, section, n.start_sec, row_number() OVER (PARTITION BY s.recording_id, section ORDER BY n.start_sec, n.note_id) AS k FROM sections s JOIN notes n ON n.recording_id = s.recording_id AND n.end_sec > s.start_sec AND n.start_sec < s.end_sec),
- d AS (SELECT *, round(start_sec, 6) - lag(round(start_sec, 6)) OVER (PARTITION BY recording_id, section ORDER BY k) AS gap FROM j) SELECT recording_id, section, max(k) AS notes, count(*) FILTER (k <= 64) AS onsets, round(sum(gap) FILTER (k <= 64), 5) AS spread, round(max(gap) FILTER (k <= 64), 5) AS longest FROM d GROUP BY 1, 2""", "frames", "notes"))
+@query("a27_pattern_windows", sql(_sections_sql(2.0, 12) + """, j AS (SELECT s.recording_id, section, CAST(round_even(n.start_sec * 1000000, 0) AS BIGINT) AS us, row_number() OVER (PARTITION BY s.recording_id, section ORDER BY n.start_sec, n.note_id) AS k FROM sections s JOIN notes n ON n.recording_id = s.recording_id AND n.end_sec > s.start_sec AND n.start_sec < s.end_sec),
+ d AS (SELECT *, us - lag(us) OVER (PARTITION BY recording_id, section ORDER BY k) AS gap FROM j) SELECT recording_id, section, max(k) AS notes, count(*) FILTER (k <= 64) AS onsets, CAST(sum(gap) FILTER (k <= 64) AS BIGINT) / CAST(1000000 AS DOUBLE) AS spread, max(gap) FILTER (k <= 64) / CAST(1000000 AS DOUBLE) AS longest FROM d GROUP BY 1, 2""", "frames", "notes"))
 def a27(t: Tables) -> DataFrame:
-    """Windows of a twelfth: their notes, and of the first 64 onsets how many, and the sum and longest of intervals."""
+    """Windows of a twelfth: their notes, and of the first 64 onsets how many, and the sum and longest of intervals, taken in whole microseconds."""
     s = K.sections(_lengths(t), 2.0, 12)
     w = Window.partitionBy(*REC, "section").orderBy("r_start_sec", "r_note_id")
     j = interval_join(s, t.notes.select(*REC, "note_id", "start_sec", "end_sec"), REC, 4.0)
-    j = j.withColumns({"k": F.row_number().over(w), "gap": F.round("r_start_sec", 6) - F.lag(F.round("r_start_sec", 6)).over(w)})
+    j = j.withColumns({"k": F.row_number().over(w), "us": F.rint(F.col("r_start_sec") * 1000000).cast("long")})
+    j = j.withColumns({"gap": F.col("us") - F.lag("us").over(w)})
     gap = F.when(F.col("k") <= 64, F.col("gap"))
-    return j.groupBy(*REC, "section").agg(F.max("k").cast("long").alias("notes"), F.count_if(F.col("k") <= 64).alias("onsets"), F.round(F.sum(gap), 5).alias("spread"), F.round(F.max(gap), 5).alias("longest"))
+    return j.groupBy(*REC, "section").agg(F.max("k").cast("long").alias("notes"), F.count_if(F.col("k") <= 64).alias("onsets"), (F.sum(gap) / F.lit(1e6)).alias("spread"), (F.max(gap) / F.lit(1e6)).alias("longest"))
 
 
 @query("a28_a29_key_estimate", sql(_sections_sql(2.0, 8) + """, nn AS (SELECT s.recording_id, section, n.note_id, n.start_sec, CAST(n.pitch_midi % 12 AS INTEGER) AS pc FROM sections s JOIN notes n ON n.recording_id = s.recording_id AND n.end_sec > s.start_sec AND n.start_sec < s.end_sec),

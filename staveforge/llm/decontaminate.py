@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
-from .common import Scratch
+from .common import free, Scratch
 
 #: Item words in one automaton (some 100 MB in Python at most). Larger benchmarks take several passes.
 AUTOMATON_WORDS = 200_000
@@ -241,7 +241,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, max_cover
     A document goes if more than max_coverage of its words are hit; otherwise its hit spans are cut out of the text
     and a space is left in their place. Documents without hits stay byte for byte (null texts stay null).
     """
-    out = "__leak"
+    out = free(docs, "__leak")
     rows = find_leaks(docs, items, window, text_col, out=out)
     rows = rows.where(f"{out}.n_hit <= {max_coverage} * {out}.n_words")
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free
+
 # The phrases whose places are always counted, and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
@@ -179,7 +181,9 @@ def scan(docs: DataFrame, text_col: str = "text", out: str = "license") -> DataF
     detections. score is the strongest evidence: SPDX tag 1, notice or license text 0.9, versioned name 0.7, name 0.5,
     copyright line 0.2, none 0. Null and empty texts have zeros, null places and empty labels. Rows are independent.
     """
-    norm = F.col("__norm")
+    kept = docs.drop(out)
+    names = {x: free(kept, f"__{x}") for x in ("norm", "n", "base", "rules")}
+    norm = F.col(names["norm"])
     base = None
     for phrase in BASE:
         base = F.contains(norm, F.lit(f" {phrase} ")) if base is None else base | F.contains(norm, F.lit(f" {phrase} "))
@@ -188,22 +192,22 @@ def scan(docs: DataFrame, text_col: str = "text", out: str = "license") -> DataF
         cut = F.split(norm, f"(?<= ){phrase}(?= )")
         n = F.size(cut) - 1
         first = _count(cut[0])
-        last = F.col("__n") - _count(F.element_at(cut, -1)) - len(phrase.split())
+        last = F.col(names["n"]) - _count(F.element_at(cut, -1)) - len(phrase.split())
         places.append(F.when(n > 0, F.struct(n.cast("long").alias("n"), first.alias("first"), last.alias("last"), F.lit(label).alias("label"))))
     empty = "cast(array() as array<struct<n:bigint,first:bigint,last:bigint,label:string>>)"
     seen = F.when(base, F.filter(F.array(*places), lambda x: x.isNotNull())).otherwise(F.expr(empty))
     ruled = F.when(F.rlike(norm, F.lit(_GATE)) & _any_keyword(norm), surviving(detections(norm))).otherwise(F.expr("cast(array() as array<struct<label:string,priority:int>>)"))
-    rows = docs.drop(out).withColumn("__norm", normal(F.col(text_col).cast("string"))).withColumn("__n", _count(norm)).withColumns({"__base": seen, "__rules": ruled})
-    b, r = F.col("__base"), F.col("__rules")
+    rows = kept.withColumn(names["norm"], normal(F.col(text_col).cast("string"))).withColumn(names["n"], _count(norm)).withColumns({names["base"]: seen, names["rules"]: ruled})
+    b, r = F.col(names["base"]), F.col(names["rules"])
     weight = F.element_at(F.array(*[F.lit(x) for x in (0.2, 0.5, 0.7, 0.9, 1.0)]), F.array_max(F.transform(r, lambda x: x["priority"])) + 1)
     info = F.struct(
-        F.col("__n").alias("n_words"), F.aggregate(b, F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("n_base"),
+        F.col(names["n"]).alias("n_words"), F.aggregate(b, F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("n_base"),
         F.array_min(F.transform(b, lambda x: x["first"])).alias("first_word"), F.array_max(F.transform(b, lambda x: x["last"])).alias("last_word"),
         F.array_join(F.array_sort(F.array_distinct(F.transform(b, lambda x: x["label"]))), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_distinct(F.concat(F.transform(b, lambda x: x["label"]), F.transform(r, lambda x: x["label"])))), ",").alias("labels"),
         F.when(F.size(r) > 0, weight).when(F.size(b) > 0, 0.5).otherwise(0.0).alias("score"),
     )
-    return rows.withColumn(out, info).drop("__norm", "__n", "__base", "__rules")
+    return rows.withColumn(out, info).drop(*names.values())
 
 
 def _any_keyword(norm: Column) -> Column:

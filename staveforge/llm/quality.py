@@ -113,13 +113,14 @@ def fit(vec: list[tuple[np.ndarray, np.ndarray]], grade: np.ndarray, l2: float =
 def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "quality", sample: int = SAMPLE) -> Model:
     """A model of the graded ratings (id_col, grade_col), fitted on sample rated documents at most.
 
-    Grades are numbers; any count of grades from two on. Null ratings and ratings without a document do not count;
+    Grades are numbers; any count of grades from two on. Of ratings that repeat an id the highest counts, of documents
+    that repeat one the smallest text, so no more than sample rows reach the driver. Null ratings and ratings without a document do not count;
     with fewer than two grades every text gets the one grade (or 0).
     """
     sc = Scratch(docs.sparkSession, "quality")
     rated = ratings.where(F.col(grade_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(F.col(grade_col).cast("double")).alias("grade"))
     rated = sc.write(rated.orderBy(F.xxhash64(F.col(id_col).cast("string")), id_col).limit(sample), "ratings")  # sample rows: 200 kB
-    rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(rated), id_col).select("grade", "text")
+    rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(rated), id_col).groupBy(id_col).agg(F.first("grade").alias("grade"), F.min("text").alias("text")).select("grade", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -173,14 +173,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """A model of label_col in labels (id_col, label_col), fitted on sample labelled documents at most.
 
     Features are kept by the size of the z-score between the label's two rates of presence, among those in at least
-    three sample texts, and identity terms always, so that their weights can be held together. Null labels and labels
-    without a document do not count. Without rows of both labels the score is constant.
+    three sample texts, and identity terms always, so that their weights can be held together. Of labels that repeat an
+    id the highest counts, of documents that repeat one the smallest text. Null labels and labels without a document do
+    not count. Without rows of both labels the score is constant.
     """
     sc = Scratch(docs.sparkSession, "toxicity")
     lab = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(F.col(label_col).cast("int")).alias("label"))
     lab = sc.write(lab.orderBy(F.xxhash64(F.col(id_col).cast("string")), id_col).limit(sample), "labels")  # sample rows: 200 kB
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col), text.alias("text")).join(F.broadcast(lab), id_col).select("label", "text")
+    rows = docs.select(F.col(id_col), text.alias("text")).join(F.broadcast(lab), id_col).groupBy(id_col).agg(F.first("label").alias("label"), F.min("text").alias("text")).select("label", "text")
     seen = sc.write(_explained(rows, swaps), "explained")
     n, pos = seen.agg(F.count(F.lit(1)), F.sum("label")).first()
     if not n or not pos or pos == n:

@@ -27,10 +27,14 @@ def peaks(env: DataFrame, by: list[str], order: str, value: str, pre_max: int, p
 def keep_spaced(hits: DataFrame, by: list[str], at: str, strength: str, gap: Column, order: str) -> DataFrame:
     """W25's wait rule, W30, W31: hits in time order; one nearer than gap to the last kept hit replaces it if it is stronger, else goes.
 
-    A fold over the sorted hits of each key; what stays are whole rows of hits, as they were.
+    A hit that is its own gap or more behind the hit before it is that far behind every kept one, so it begins a new
+    run; only the hits of a run are folded together. What stays are whole rows of hits, as they were.
     """
-    row = F.struct(F.col(at).alias("__at"), F.col(order).alias("__o"), F.col(strength).alias("__v"), gap.cast("double").alias("__gap"), F.struct(*hits.columns).alias("__row"))
-    g = hits.groupBy(*by).agg(F.array_sort(F.collect_list(row)).alias("__all"))
+    w = Window.partitionBy(*by).orderBy(at, order, strength)
+    new = F.coalesce((F.col(at) - F.lag(at).over(w) >= F.col("__gap")), F.lit(True)).cast("int")
+    row = F.struct(F.col(at).alias("__at"), F.col(order).alias("__o"), F.col(strength).alias("__v"), F.col("__gap"), F.struct(*hits.columns).alias("__row"))
+    cut = hits.withColumn("__gap", gap.cast("double")).withColumn("__new", new).withColumn("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    g = cut.groupBy(*by, "__run").agg(F.array_sort(F.collect_list(row)).alias("__all"))
 
     def step(kept: Column, x: Column) -> Column:
         last = F.element_at(kept, -1)

@@ -129,7 +129,8 @@ def _recursive(views: str, source: str, by: list[str], gap: str, out: str) -> st
     """CTEs that keep rows of source (onset_sec, hit_id, score) spaced by gap, the stronger replacing the nearer."""
     keys, on = ", ".join(by), " AND ".join(f"{out}_o.{c} = {out}_f.{c}" for c in by)
     take = f"{out}_o.onset_sec - {out}_f.at >= {out}_o.gap OR {out}_o.score > {out}_f.v"
-    return views.replace("WITH ", "WITH RECURSIVE ", 1) + f""", {out}_o AS (SELECT *, {gap} AS gap, row_number() OVER (PARTITION BY {keys} ORDER BY onset_sec, hit_id) AS rn FROM {source}),
+    head = views if views.startswith("WITH RECURSIVE") else views.replace("WITH ", "WITH RECURSIVE ", 1)
+    return head + f""", {out}_o AS (SELECT *, {gap} AS gap, row_number() OVER (PARTITION BY {keys} ORDER BY onset_sec, hit_id) AS rn FROM {source}),
  {out}_f AS (SELECT {keys}, rn, hit_id AS kept, onset_sec AS at, score AS v, 1 AS grp FROM {out}_o WHERE rn = 1 UNION ALL SELECT {', '.join(f'{out}_f.{c}' for c in by)}, {out}_o.rn, CASE WHEN {take} THEN {out}_o.hit_id ELSE {out}_f.kept END, CASE WHEN {take} THEN {out}_o.onset_sec ELSE {out}_f.at END,
   CASE WHEN {take} THEN {out}_o.score ELSE {out}_f.v END, CASE WHEN {out}_o.onset_sec - {out}_f.at >= {out}_o.gap THEN {out}_f.grp + 1 ELSE {out}_f.grp END FROM {out}_f JOIN {out}_o ON {out}_o.rn = {out}_f.rn + 1 AND {on}),
  {out} AS (SELECT {keys}, arg_max(kept, rn) AS hit_id FROM {out}_f GROUP BY {keys}, grp)"""
@@ -213,16 +214,18 @@ def p17(t: Tables) -> DataFrame:
 
 
 _GAP = "CASE class_name WHEN 'kick' THEN 0.5 WHEN 'hat' THEN 0.3 ELSE 0.8 END"
-_WIN = _SCORE + f""", ok AS (SELECT * FROM scored WHERE {_REJECT} IS NULL), tn AS (SELECT *, CASE WHEN onset_sec - lag(onset_sec) OVER w > 0.15 THEN 1 ELSE 0 END AS nw FROM ok WINDOW w AS (PARTITION BY recording_id ORDER BY onset_sec, hit_id)), tg AS (SELECT *, sum(nw) OVER (PARTITION BY recording_id ORDER BY onset_sec, hit_id ROWS UNBOUNDED PRECEDING) AS transient FROM tn),
- wn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY recording_id, transient ORDER BY score DESC, onset_sec, hit_id) AS r FROM tg) WHERE r = 1)"""
+_WIN = _SCORE + f""", ok AS (SELECT * FROM scored WHERE {_REJECT} IS NULL), tn AS (SELECT *, CASE WHEN onset_sec - lag(onset_sec) OVER w > 0.15 THEN 1 ELSE 0 END AS nw FROM ok WINDOW w AS (PARTITION BY recording_id, class_name ORDER BY onset_sec, hit_id)), tg AS (SELECT *, sum(nw) OVER (PARTITION BY recording_id, class_name ORDER BY onset_sec, hit_id ROWS UNBOUNDED PRECEDING) AS transient FROM tn),
+ wn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY recording_id, class_name, transient ORDER BY score DESC, onset_sec, hit_id) AS r FROM tg) WHERE r = 1)"""
+_SPACED = _recursive(sql(_WIN, "hits"), "wn", [*REC, "class_name"], "0.2", "sp") + ", sw AS (SELECT w.* FROM wn w JOIN sp ON sp.recording_id = w.recording_id AND sp.class_name = w.class_name AND sp.hit_id = w.hit_id)"
 
 
-@query("m10_drum_extraction", _recursive(sql(_WIN, "hits"), "wn", [*REC, "class_name"], _GAP, "kp") + f""", k AS (SELECT w.* FROM wn w JOIN kp ON kp.recording_id = w.recording_id AND kp.class_name = w.class_name AND kp.hit_id = w.hit_id), s AS (SELECT *, onset_score * (0.70 + 0.20 * confidence) AS st FROM k), q AS (SELECT *, quantile_cont(st, 0.1) OVER (PARTITION BY recording_id) AS lo, quantile_cont(st, 0.9) OVER (PARTITION BY recording_id) AS hi FROM s)
+@query("m10_drum_extraction", _recursive(_SPACED, "sw", [*REC, "class_name"], _GAP, "kp") + f""", k AS (SELECT w.* FROM sw w JOIN kp ON kp.recording_id = w.recording_id AND kp.class_name = w.class_name AND kp.hit_id = w.hit_id), s AS (SELECT *, onset_score * (0.70 + 0.20 * confidence) AS st FROM k), q AS (SELECT *, quantile_cont(st, 0.1) OVER (PARTITION BY recording_id) AS lo, quantile_cont(st, 0.9) OVER (PARTITION BY recording_id) AS hi FROM s)
  SELECT recording_id, hit_id, class_name, CAST({_TARGET} AS INTEGER) AS note, CAST(greatest(1, least(127, round_even(20 + 88 * least(1.0, greatest(0.0, (st - lo) / greatest(hi - lo, 1e-9))) + 12 * least(1.0, greatest(0.0, confidence)), 0))) AS INTEGER) AS velocity, CAST(greatest(0, round_even(onset_sec * 960, 0)) AS BIGINT) AS tick FROM q""")
 def m10(t: Tables) -> DataFrame:
-    """From hits to drum notes: reject, the best of each transient, refractory by class, velocity, target note and tick."""
+    """From hits to drum notes: reject; by layer the best of each transient, spacing and refractory; velocity, target note and tick."""
     ok = _scored(t).where(_reject().isNull())
-    best = D.group_winners(ok, REC, 0.15).where("not suppressed").drop("suppressed", "transient")
+    best = D.group_winners(ok, [*REC, "class_name"], 0.15).where("not suppressed").drop("suppressed", "transient")
+    best = D.keep_spaced(best, [*REC, "class_name"], "onset_sec", "score", F.lit(0.2), "hit_id")
     gap = F.when(F.col("class_name") == "kick", 0.5).when(F.col("class_name") == "hat", 0.3).otherwise(0.8)
     kept = D.keep_spaced(best, [*REC, "class_name"], "onset_sec", "score", gap, "hit_id")
     return D.velocities(kept, REC).select(*REC, "hit_id", "class_name", target_note(F.col("class_name")).alias("note"), "velocity", E.ticks(F.col("onset_sec")).alias("tick"))

@@ -16,6 +16,10 @@ REC = ["recording_id"]
 _SCORE = ", scored AS (SELECT *, 0.52 * onset_score + 0.26 * confidence + 0.10 * rms + 0.12 * rms AS score FROM hits)"
 _GROUPS = _SCORE + ", st AS (SELECT *, CASE WHEN onset_sec - lag(onset_sec) OVER w > 0.15 THEN 1 ELSE 0 END AS nw FROM scored WINDOW w AS (PARTITION BY recording_id ORDER BY onset_sec, hit_id)), gr AS (SELECT *, CAST(sum(nw) OVER (PARTITION BY recording_id ORDER BY onset_sec, hit_id ROWS UNBOUNDED PRECEDING) AS INTEGER) AS transient FROM st)"
 
+# Same, with each layer (here the class) by itself: hits of two layers at one time are two hits.
+_LAYERED = _GROUPS.replace("PARTITION BY recording_id ORDER", "PARTITION BY recording_id, class_name ORDER")
+LAYER = [*REC, "class_name"]
+
 
 def _scored(t: Tables) -> DataFrame:
     return t.hits.withColumn("score", D.score(F.col("onset_score"), F.col("confidence"), F.col("rms"), F.col("rms")))
@@ -36,9 +40,10 @@ def w28(t: Tables) -> DataFrame:
     return D.transient_groups(t.hits, REC, 0.15).select(*REC, "hit_id", "transient")
 
 
-@query("w29_group_winner", sql(_GROUPS + ", rk AS (SELECT *, row_number() OVER (PARTITION BY recording_id, transient ORDER BY score DESC, onset_sec, hit_id) AS rn FROM gr) SELECT recording_id, hit_id, rn > 1 AS suppressed FROM rk", "hits"))
+@query("w29_group_winner", sql(_LAYERED + ", rk AS (SELECT *, row_number() OVER (PARTITION BY recording_id, class_name, transient ORDER BY score DESC, onset_sec, hit_id) AS rn FROM gr) SELECT recording_id, hit_id, rn > 1 AS suppressed FROM rk", "hits"))
 def w29(t: Tables) -> DataFrame:
-    return D.group_winners(_scored(t), REC, 0.15).select(*REC, "hit_id", "suppressed")
+    """The best hit of each transient of each layer."""
+    return D.group_winners(_scored(t), LAYER, 0.15).select(*REC, "hit_id", "suppressed")
 
 
 
@@ -55,9 +60,9 @@ def _spaced(by: str, gap: str) -> str:
     )
 
 
-@query("w30_min_spacing", _spaced("recording_id", "0.4"))
+@query("w30_min_spacing", _spaced("recording_id, class_name", "0.4"))
 def w30(t: Tables) -> DataFrame:
-    return D.keep_spaced(_scored(t), REC, "onset_sec", "score", F.lit(0.4), "hit_id").select(*REC, "hit_id")
+    return D.keep_spaced(_scored(t), LAYER, "onset_sec", "score", F.lit(0.4), "hit_id").select(*LAYER, "hit_id")
 
 
 @query("w31_class_refractory", _spaced("recording_id, class_name", "CASE class_name WHEN 'kick' THEN 0.5 WHEN 'hat' THEN 0.3 ELSE 0.8 END"))
@@ -66,11 +71,11 @@ def w31(t: Tables) -> DataFrame:
     return D.keep_spaced(_scored(t), [*REC, "class_name"], "onset_sec", "score", gap, "hit_id").select(*REC, "class_name", "hit_id")
 
 
-@query("w32_previous_unsuppressed", sql(_GROUPS + ", rk AS (SELECT *, row_number() OVER (PARTITION BY recording_id, transient ORDER BY score DESC, onset_sec, hit_id) > 1 AS sup FROM gr) SELECT recording_id, hit_id, round((onset_sec - last_value(CASE WHEN NOT sup THEN onset_sec END IGNORE NULLS) OVER (PARTITION BY recording_id, class_name ORDER BY onset_sec, hit_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) * 1000, 6) AS previous_ms FROM rk", "hits"))
+@query("w32_previous_unsuppressed", sql(_LAYERED + ", rk AS (SELECT *, row_number() OVER (PARTITION BY recording_id, class_name, transient ORDER BY score DESC, onset_sec, hit_id) > 1 AS sup FROM gr) SELECT recording_id, hit_id, round((onset_sec - last_value(CASE WHEN NOT sup THEN onset_sec END IGNORE NULLS) OVER (PARTITION BY recording_id, class_name ORDER BY onset_sec, hit_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) * 1000, 6) AS previous_ms FROM rk", "hits"))
 def w32(t: Tables) -> DataFrame:
     w = Window.partitionBy(*REC, "class_name").orderBy("onset_sec", "hit_id").rowsBetween(Window.unboundedPreceding, -1)
     last = F.last(F.when(~F.col("suppressed"), F.col("onset_sec")), ignorenulls=True).over(w)
-    return D.group_winners(_scored(t), REC, 0.15).select(*REC, "hit_id", F.round((F.col("onset_sec") - last) * 1000, 6).alias("previous_ms"))
+    return D.group_winners(_scored(t), LAYER, 0.15).select(*REC, "hit_id", F.round((F.col("onset_sec") - last) * 1000, 6).alias("previous_ms"))
 
 
 @query("w33_simultaneous_layers", sql(_GROUPS + " SELECT recording_id, transient, array_to_string(list_sort(list_distinct(list(class_name))), '|') AS layers FROM gr GROUP BY ALL", "hits"))

@@ -1,12 +1,13 @@
-"""Band-pass and resampling (W8, W9) over the vectors of embeddings as chunks of longer signals, and over frames."""
+"""Band-pass, resampling, band envelopes and onsets (W8, W9, W24 to W26) over the vectors of embeddings as chunks of longer signals, and over frames."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from staveforge.operators import dsp
+from staveforge.operators import dsp, onsets
 from staveforge.sources.adapters import Tables
+from staveforge.sources.shared import staged
 
 from .registry import query, sql
 
@@ -36,3 +37,24 @@ def w8(t: Tables) -> DataFrame:
     """The levels of every recording at two thirds of its frames and five."""
     m = t.frames.groupBy(*REC).agg(F.expr("count(1) * 2 div 3 + 5").alias("m"))
     return dsp.fit_length(t.frames.select(*REC, "frame_index", "rms"), REC, "frame_index", "rms", m).select(*REC, "frame_index", F.round("rms", 9).alias("rms"))
+
+
+ONSET_RATE = 22050.0
+PICKING = onsets.Picking(minimum=0.9, delta=0.55)
+
+
+def envelopes(t: Tables) -> DataFrame:
+    return staged(onsets.normalised(onsets.band_flux(signals(t), ["signal_id"], ONSET_RATE), ["signal_id"]))
+
+
+@query("w24_band_envelopes")
+def w24(t: Tables) -> DataFrame:
+    """Onset strength of ten bands in every frame of every signal."""
+    return envelopes(t).withColumn("strength", F.round("strength", 6))
+
+
+@query("w26_band_onsets")
+def w26(t: Tables) -> DataFrame:
+    """Onsets of every signal and band, with the looser retry."""
+    found = onsets.detect_onsets(envelopes(t), ["signal_id", "band"], PICKING, ONSET_RATE)
+    return found.withColumns({"onset_sec": F.round("onset_sec", 9), "strength": F.round("strength", 6)})

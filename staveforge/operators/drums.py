@@ -1,4 +1,4 @@
-"""Drum hits: peak picking, grouping, spacing, refractory, annotation and output."""
+"""Drum hits: peak picking, grouping, spacing, refractory, annotation and output."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Edits of note tables: every edit is a keyed update, a union or an anti-join."""
+"""Edits of note tables: every edit is a keyed update, a union or an anti-join."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Per-frame features and their roll-ups."""
+"""Per-frame features and their roll-ups."""
 
 from __future__ import annotations
 

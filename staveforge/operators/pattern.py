@@ -1,4 +1,4 @@
-"""Bars, pattern families and completion."""
+"""Bars of a fixed length and their families (A22, A23, A38, W34, W35, F19, U7, U8); completion.py has bars by tempo and meter and what is made of them."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Refinement of bass notes on frames (W12-W18, X1, M4, A9): attack, false retriggers, tails, short notes, gaps, overlaps.
+"""Refinement of bass notes on frames (W12-W18, X1, M4): attack, false retriggers, tails, short notes, gaps, overlaps.
 
 Evidence comes by interval joins, so a note only meets the frames of its own window. Notes that can merge lie in one
 chain of near starts; a chain is one row, and only chains of several notes are folded in Python.

@@ -52,7 +52,7 @@ class Repair:
 
 
 def profile(name: str, p: Repair) -> Repair:
-    """Aggressive, sustain_legato, conservative, or p itself for any other name."""
+    """Aggressive, sustain_legato, conservative; balanced, as any other name, is p itself."""
     if name == "aggressive":
         return replace(p, overhang_min=0.16, missing_min=0.06, insert_confidence=max(0.6, p.insert_confidence - 0.10), split_confidence=max(0.6, p.split_confidence - 0.08), split_pitch=max(0.4, p.split_pitch - 0.20))
     if name == "sustain_legato":
@@ -63,8 +63,8 @@ def profile(name: str, p: Repair) -> Repair:
 
 
 def pass_profile(index: int) -> str:
-    """X11."""
-    return "aggressive" if index <= 1 else "sustain_legato" if index == 2 else "conservative"
+    """X11: the base parameters first, then the two that protect what is there."""
+    return "balanced" if index <= 1 else "sustain_legato" if index == 2 else "conservative"
 
 
 def overlap(a: Column, b: Column, c: Column, d: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Drum chain queries."""
+"""Drum chain queries."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""MIDI table algebra."""
+"""MIDI table algebra."""
 
 from __future__ import annotations
 

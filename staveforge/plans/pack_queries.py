@@ -1,4 +1,4 @@
-"""Completion-pack queries (A24, A25, A27, A29, J25, J29, W38, W39, T8, T13, X55, X56) and text rules."""
+"""Completion-pack queries (A24, A25, A27, A29, J25, J29, W38, W39, T8, T13, X55, X56) and text rules."""
 
 from __future__ import annotations
 

@@ -220,7 +220,7 @@ def u9(t: Tables) -> DataFrame:
 
 
 @query("p14_x11_profiles", """SELECT CAST(i AS INTEGER) AS iteration, name AS profile, missing_min, overhang_min, close_gap, insert_confidence, split_confidence, split_pitch FROM (VALUES
- (1, 'aggressive', 0.06, 0.16, 0.05, 0.7, 0.67, 0.55), (2, 'sustain_legato', 0.08, 0.26, 0.06, 0.84, 0.82, 0.9), (3, 'conservative', 0.09, 0.32, 0.055, 0.95, 0.95, 1.4)) AS v(i, name, missing_min, overhang_min, close_gap, insert_confidence, split_confidence, split_pitch)""")
+ (1, 'balanced', 0.08, 0.22, 0.05, 0.8, 0.75, 0.75), (2, 'sustain_legato', 0.08, 0.26, 0.06, 0.84, 0.82, 0.9), (3, 'conservative', 0.09, 0.32, 0.055, 0.95, 0.95, 1.4)) AS v(i, name, missing_min, overhang_min, close_gap, insert_confidence, split_confidence, split_pitch)""")
 def p14(t: Tables) -> DataFrame:
     rows = []
     for i in (1, 2, 3):

@@ -1,4 +1,4 @@
-"""WAV files as PCM frames and their spectra."""
+"""WAV files as PCM frames and their spectra."""
 
 from __future__ import annotations
 

@@ -16,7 +16,7 @@ def score(onset: Column, confidence: Column, attack: Column, dominance: Column)
     return 0.52 * onset + 0.26 * confidence + 0.10 * attack + 0.12 * dominance
 
 
-def peaks(env: DataFrame, by: list[str], order: str, value: str, pre_max: int, post_max: int, pre_avg: int, post_avg: int, delta: float, minimum: float) -> DataFrame:
+def peaks(env: DataFrame, by: list[str], order: str, value: str, pre_max: int, post_max: int, pre_avg: int, post_avg: int, delta: float, minimum: float | Column) -> DataFrame:
     """W25 without its wait rule: values that are the largest of their frame, at least delta over its mean and at least minimum."""
     w = Window.partitionBy(*by).orderBy(order)
     top, mean = F.max(value).over(w.rowsBetween(-pre_max, post_max)), F.avg(value).over(w.rowsBetween(-pre_avg, post_avg))

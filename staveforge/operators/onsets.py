@@ -111,20 +111,25 @@ class Picking:
         return Picking(self.pre_max, self.post_max, self.pre_avg, self.post_avg, max(0.0, self.delta * 0.85), self.wait, max(0.03, self.minimum * 0.75))
 
 
-def pick(env: DataFrame, by: list[str], p: Picking, value: str = "strength") -> DataFrame:
-    """Local maxima far enough above their surroundings; of two at most wait frames apart the higher stays, of equal ones the first."""
-    found = peaks(env, by, "frame_index", value, p.pre_max, p.post_max, p.pre_avg, p.post_avg, p.delta, p.minimum)
+def pick(env: DataFrame, by: list[str], p: Picking, value: str = "strength", least: Column | None = None) -> DataFrame:
+    """Local maxima far enough above their surroundings; of two at most wait frames apart the higher stays, of equal ones the first.
+
+    least, where given, is the least strength of a row in place of p's own.
+    """
+    found = peaks(env, by, "frame_index", value, p.pre_max, p.post_max, p.pre_avg, p.post_avg, p.delta, p.minimum if least is None else least)
     return keep_spaced(found, by, "frame_index", value, F.lit(p.wait + 1), "frame_index")
 
 
-def detect_onsets(env: DataFrame, by: list[str], p: Picking, rate: float, hop: int = 256) -> DataFrame:
+def detect_onsets(env: DataFrame, by: list[str], p: Picking, rate: float, hop: int = 256, least: Column | None = None) -> DataFrame:
     """(by, frame_index, onset_sec, strength, relaxed) of env (by, frame_index, strength).
 
-    Keys that come out without any onset, and only those, are picked again with looser thresholds.
+    Keys that come out without any onset, and only those, are picked again with looser thresholds. least, an expression
+    over by, sets the least strength of each key in place of p's own.
     """
     columns = [*by, "frame_index", "strength"]
-    first = pick(env.select(*columns), by, p)
-    second = pick(env.select(*columns).join(first.select(*by).distinct(), by, "left_anti"), by, p.relaxed())
+    looser = None if least is None else F.greatest(F.lit(0.03), least * 0.75)
+    first = pick(env.select(*columns), by, p, least=least)
+    second = pick(env.select(*columns).join(first.select(*by).distinct(), by, "left_anti"), by, p.relaxed(), least=looser)
 
     def timed(df: DataFrame, relaxed: bool) -> DataFrame:
         sec: Column = F.col("frame_index") * F.lit(hop / rate)

@@ -1,11 +1,11 @@
-"""Band-pass, resampling, band envelopes and onsets (W8, W9, W24 to W26) over the vectors of embeddings as chunks of longer signals, and over frames."""
+"""Band-pass, resampling, band envelopes, onsets, detectors and hits (W8, W9, W24 to W27, P18, P19, X18, X19) over the vectors of embeddings as chunks of longer signals, and over frames."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from staveforge.operators import dsp, onsets
+from staveforge.operators import detectors, dsp, onsets
 from staveforge.sources.adapters import Tables
 from staveforge.sources.shared import staged
 
@@ -58,3 +58,40 @@ def w26(t: Tables) -> DataFrame:
     """Onsets of every signal and band, with the looser retry."""
     found = onsets.detect_onsets(envelopes(t), ["signal_id", "band"], PICKING, ONSET_RATE)
     return found.withColumns({"onset_sec": F.round("onset_sec", 9), "strength": F.round("strength", 6)})
+
+
+SIG = ["signal_id"]
+_ROUND = ("strength", "low", "mid", "upper", "high", "attack", "decay", "low_ratio", "mid_ratio", "high_ratio", "dominance", "confidence", "rival_score")
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.withColumns({**{c: F.round(c, 6) for c in _ROUND}, "centroid": F.round("centroid", 3), "onset_sec": F.round("onset_sec", 9)})
+
+
+def hits(t: Tables) -> DataFrame:
+    p = detectors.profile("balanced")
+    return detectors.to_hits(detectors.detector_candidates(envelopes(t), SIG, p, ONSET_RATE), SIG, p)
+
+
+@query("p18_x18_detector_candidates")
+def p18(t: Tables) -> DataFrame:
+    """Candidates of five detectors in every signal."""
+    return _rounded(detectors.detector_candidates(envelopes(t), SIG, detectors.profile("balanced"), ONSET_RATE))
+
+
+@query("p19_global_candidates")
+def p19(t: Tables) -> DataFrame:
+    """Onsets of the full band with the class of the largest score."""
+    return _rounded(detectors.global_candidates(envelopes(t), SIG, detectors.profile("sensitive"), ONSET_RATE))
+
+
+@query("x19_m10_audio_hits")
+def x19(t: Tables) -> DataFrame:
+    """From samples to hits: envelopes, detectors, rejection, transients, spacing and refractory, with the reason of each hit that goes."""
+    return _rounded(hits(t)).withColumns({"bpm": F.round("bpm", 6), "score": F.round("score", 6)})
+
+
+@query("x18_detector_counters")
+def x18(t: Tables) -> DataFrame:
+    """Candidates, accepted and rejected hits of each signal and detector."""
+    return detectors.counters(hits(t), SIG)

@@ -69,3 +69,16 @@ def nearest_join(left: DataFrame, right: DataFrame, by: list[str], at: str, valu
     db, df = F.col(at) - F.col(f"__b_near_{at}"), F.col(f"__f_near_{at}") - F.col(at)
     back = df.isNull() | (db <= df)
     return f.select(*left.columns, *[F.when(back, F.col(f"__b_{n}")).otherwise(F.col(f"__f_{n}")).alias(n) for n in names])
+
+
+def preceding(df: DataFrame, by: list[str], at: str, order: list[str], value: Column, out: str, width: float = 60.0) -> DataFrame:
+    """df with out, value of the row before in order (which begins with at), null for a key's first row.
+
+    Rows are ordered inside buckets of width; only the last rows of buckets are ordered by key, so a long recording is
+    spread over tasks.
+    """
+    b = df.withColumn("__b", F.floor(F.col(at) / width))
+    ends = b.groupBy(*by, "__b").agg(F.max_by(value, F.struct(*order)).alias("__last"))
+    ends = ends.select(*by, "__b", F.lag("__last").over(Window.partitionBy(*by).orderBy("__b")).alias("__carried"))
+    own = F.lag(value).over(Window.partitionBy(*by, "__b").orderBy(*order))
+    return b.join(ends, [*by, "__b"]).withColumn(out, F.coalesce(own, F.col("__carried"))).drop("__b", "__carried")

@@ -8,6 +8,7 @@ from pyspark.sql import Window
 
 from staveforge.functions import exprs as E
 from staveforge.operators import pack as K
+from staveforge.operators import regions as R
 from staveforge.operators.timejoin import interval_join
 from staveforge.sources.adapters import Tables
 
@@ -125,6 +126,15 @@ def w38(t: Tables) -> DataFrame:
     return K.merge_candidates(c, 0.5).withColumns({"start_sec": F.round("start_sec", 6), "end_sec": F.round("end_sec", 6)})
 
 
+@query("m18_completion_regions")
+def m18(t: Tables) -> DataFrame:
+    """Regions that a completion may write, with their context; lists as text."""
+    r = R.completion_regions(t.notes, _runs(t), _tones(t), _lengths(t))
+    lists = [c for c, kind in r.dtypes if kind.startswith("array")]
+    times = [c for c, kind in r.dtypes if kind == "double"]
+    return r.withColumns({**{c: F.array_join(F.col(c).cast("array<string>"), ",") for c in lists}, **{c: F.round(c, 6) for c in times}})
+
+
 @query("t8_select_regions", sql(_RUNS + """, rn AS (SELECT r.*, (SELECT count(*) FROM notes n WHERE n.recording_id = r.recording_id AND n.end_sec > r.start_sec AND n.start_sec < r.end_sec) AS notes FROM runs r),
  rk AS (SELECT *, row_number() OVER (p ORDER BY rms_peak DESC, start_sec) AS a, row_number() OVER (p ORDER BY onset_count DESC, rms_peak DESC, start_sec) AS b, row_number() OVER (p ORDER BY notes, rms_peak DESC, start_sec) AS c, row_number() OVER (p ORDER BY round(rms_peak * 1.5 + onset_count, 9) DESC, notes, start_sec) AS d, count(*) OVER p AS n FROM rn WINDOW p AS (PARTITION BY recording_id)),
  u AS (SELECT *, CASE WHEN least(a, b, c) <= 8 THEN 1 ELSE 0 END AS i FROM rk), v AS (SELECT *, sum(i) OVER (PARTITION BY recording_id) AS su, row_number() OVER (PARTITION BY recording_id ORDER BY i, d) AS f FROM u), x AS (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY start_sec) AS t FROM v WHERE n <= 20 OR i = 1 OR (i = 0 AND f <= 20 - su))

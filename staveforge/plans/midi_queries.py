@@ -1,14 +1,18 @@
-"""MIDI table algebra."""
+"""MIDI table algebra."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from staveforge.functions import exprs as E
 from staveforge.operators import midi as MI
+from staveforge.sources import midi_files as MF
 from staveforge.sources.adapters import Tables
+from staveforge.sources.shared import shared_dir
 
 from .registry import query, sql
 
@@ -144,3 +148,18 @@ def f9(t: Tables) -> DataFrame:
 def f13(t: Tables) -> DataFrame:
     v = F.coalesce(F.col("event_type").try_cast("int"), F.lit(64))
     return t.read("events").select("event_id", E.clip(v, 1, 127).cast("int").alias("velocity"), E.clip(F.floor("value").cast("int") - 100, 0, 127).cast("int").alias("pitch"))
+
+
+@query("s5_m25_folder_merge", sql(""", g AS (SELECT recording_id, count(DISTINCT track_index) AS tracks, count(*) AS n, max(greatest(end_tick, start_tick + 1)) AS last FROM notes GROUP BY 1), m AS (SELECT count(*) AS tempos, max(tick) AS top FROM tempo_map)
+ SELECT recording_id, 'merged' AS action, tracks + 1 AS source_tracks, CAST(1 AS BIGINT) AS output_tracks, greatest(last, top) AS length_ticks, n AS note_on, n AS note_off, tempos, true AS alike FROM g, m""", "notes", "tempo_map"))
+def m25(t: Tables) -> DataFrame:
+    """Every recording as a MIDI file with a track for each track_index, merged to one track and channel and read back: facts of source and output."""
+    folder = f"{MF.mounted(shared_dir(t.spark))}/midi-{uuid.uuid4().hex}"
+    n = t.notes.withColumns({"path": F.concat("recording_id", F.lit(".mid")), "track": F.col("track_index") + 1, "track_name": F.concat(F.lit("track "), F.col("track_index").cast("string"))})
+    MF.write_messages(MF.score(n, t.tempo_map), folder, ["tick", "priority", "channel", "pitch"])
+    r = MF.merge_folder(t.spark, folder, single_channel=True)
+    alike = F.lit(True)
+    for c in ("length_ticks", "note_on", "note_off", "tempos", "ticks_per_beat"):
+        alike = alike & (F.col(f"source_{c}") == F.col(f"output_{c}"))
+    facts = [F.col(f"output_{c}").alias(c) for c in ("length_ticks", "note_on", "note_off", "tempos")]
+    return r.select(F.regexp_extract("path", r"([^/]*)\.mid$", 1).alias("recording_id"), "action", "source_tracks", "output_tracks", *facts, alike.alias("alike"))

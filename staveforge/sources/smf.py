@@ -25,10 +25,10 @@ def _varlen(b: bytes, at: int) -> tuple[int, int]:
 
 
 def parse(b: bytes) -> Iterator[dict]:
-    """The events of one file in order, with absolute ticks. A key signature out of range is clamped (sharps -7..7, mode 0 or 1), not an error."""
+    """The events of one file in order, with absolute ticks and, as raw, their bytes under a status of their own. A key signature out of range is clamped (sharps -7..7, mode 0 or 1), not an error."""
     if b[:4] != b"MThd":
         raise ValueError("not a MIDI file")
-    size, _, _, tpb = struct.unpack(">IHHH", b[4:14])
+    size, form, _, tpb = struct.unpack(">IHHH", b[4:14])
     if tpb & 0x8000:
         raise ValueError("SMPTE time is not read")
     at, track = 8 + size, -1
@@ -42,11 +42,12 @@ def parse(b: bytes) -> Iterator[dict]:
             while at < end:
                 d, at = _varlen(b, at)
                 tick += d
-                e = {"ticks_per_beat": tpb, "track": track, "ord": order, "tick": tick, "kind": "other", "channel": None, "data1": None, "data2": None, "tempo": None, "text": None}
+                e = {"format": form, "ticks_per_beat": tpb, "track": track, "ord": order, "tick": tick, "kind": "other", "channel": None, "data1": None, "data2": None, "tempo": None, "text": None}
                 order += 1
                 if b[at] >= 0x80:
                     status = b[at]
                     at += 1
+                first = at
                 if status == 0xFF:
                     kind = b[at]
                     n, at = _varlen(b, at + 1)
@@ -72,6 +73,7 @@ def parse(b: bytes) -> Iterator[dict]:
                         at += 1
                     if e["kind"] == "note_on" and e["data2"] == 0:
                         e["kind"] = "note_off"
+                e["raw"] = bytes([status]) + b[first:at]
                 yield e
         at = end
 

@@ -1,10 +1,10 @@
-"""MIDI table algebra."""
+"""MIDI table algebra."""
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -150,11 +150,15 @@ def f13(t: Tables) -> DataFrame:
     return t.read("events").select("event_id", E.clip(v, 1, 127).cast("int").alias("velocity"), E.clip(F.floor("value").cast("int") - 100, 0, 127).cast("int").alias("pitch"))
 
 
+def _folder(t: Tables) -> str:
+    return f"{MF.mounted(shared_dir(t.spark))}/midi-{uuid.uuid4().hex}"
+
+
 @query("s5_m25_folder_merge", sql(""", g AS (SELECT recording_id, count(DISTINCT track_index) AS tracks, count(*) AS n, max(greatest(end_tick, start_tick + 1)) AS last FROM notes GROUP BY 1), m AS (SELECT count(*) AS tempos, max(tick) AS top FROM tempo_map)
  SELECT recording_id, 'merged' AS action, tracks + 1 AS source_tracks, CAST(1 AS BIGINT) AS output_tracks, greatest(last, top) AS length_ticks, n AS note_on, n AS note_off, tempos, true AS alike FROM g, m""", "notes", "tempo_map"))
 def m25(t: Tables) -> DataFrame:
     """Every recording as a MIDI file with a track for each track_index, merged to one track and channel and read back: facts of source and output."""
-    folder = f"{MF.mounted(shared_dir(t.spark))}/midi-{uuid.uuid4().hex}"
+    folder = _folder(t)
     n = t.notes.withColumns({"path": F.concat("recording_id", F.lit(".mid")), "track": F.col("track_index") + 1, "track_name": F.concat(F.lit("track "), F.col("track_index").cast("string"))})
     MF.write_messages(MF.score(n, t.tempo_map), folder, ["tick", "priority", "channel", "pitch"])
     r = MF.merge_folder(t.spark, folder, single_channel=True)
@@ -163,3 +167,44 @@ def m25(t: Tables) -> DataFrame:
         alike = alike & (F.col(f"source_{c}") == F.col(f"output_{c}"))
     facts = [F.col(f"output_{c}").alias(c) for c in ("length_ticks", "note_on", "note_off", "tempos")]
     return r.select(F.regexp_extract("path", r"([^/]*)\.mid$", 1).alias("recording_id"), "action", "source_tracks", "output_tracks", *facts, alike.alias("alike"))
+
+
+def _tracked(t: Tables) -> DataFrame:
+    return t.notes.withColumns({"track": F.col("track_index") + 1, "track_name": F.concat(F.lit("Part / "), F.col("layer")), "muted": F.col("velocity") <= 40})
+
+
+def _facts() -> list[Column]:
+    return [F.count_if(F.col("kind") == "note_on").alias("notes"), F.count_if(F.col("kind") == "tempo").alias("tempos"), F.max("tick").alias("length_ticks")]
+
+
+@query("k7_x43_split_multitrack", sql(""", m AS (SELECT count(*) AS tempos, max(tick) AS top FROM tempo_map), p AS (SELECT recording_id, CAST(dense_rank() OVER (PARTITION BY recording_id ORDER BY track_index) AS INTEGER) AS track, count(*) FILTER (velocity > 40) AS notes, coalesce(max(greatest(end_tick, start_tick + 1)) FILTER (velocity > 40), 0) AS length_ticks FROM notes GROUP BY recording_id, track_index)
+ SELECT recording_id, track, notes, CAST(0 AS BIGINT) AS tempos, length_ticks FROM p UNION ALL SELECT DISTINCT recording_id, 0, CAST(0 AS BIGINT), tempos, top FROM p, m""", "notes", "tempo_map"))
+def k7(t: Tables) -> DataFrame:
+    """A file for each recording with a conductor and a track for each track_index that it has, muted notes left out, read back; tracks count as they stand in the file."""
+    folder = _folder(t)
+    MF.write_messages(MF.score(_tracked(t).withColumn("path", F.concat("recording_id", F.lit(".mid"))), t.tempo_map), folder, ["tick", "priority", "channel", "pitch"])
+    return MF.read_messages(t.spark, folder).groupBy(F.regexp_extract("path", r"([^/]*)\.mid$", 1).alias("recording_id"), "track").agg(*_facts())
+
+
+@query("k8_split_files", sql(""", m AS (SELECT count(*) AS tempos, max(tick) AS top FROM tempo_map) SELECT recording_id, printf('%02d_Part_%s.mid', track_index + 1, layer) AS file, count(*) AS notes, any_value(tempos) AS tempos, greatest(max(greatest(end_tick, start_tick + 1)), any_value(top)) AS length_ticks FROM notes, m WHERE velocity > 40 GROUP BY 1, 2""", "notes", "tempo_map"))
+def k8(t: Tables) -> DataFrame:
+    """A folder for each recording with a file of one track for each track_index and layer that has notes, read back."""
+    folder = _folder(t)
+    n = _tracked(t).withColumn("path", F.concat("recording_id", F.lit("/"), MF.track_file(F.col("track"), F.col("track_name"))))
+    MF.write_messages(MF.score(n, t.tempo_map, one_track=True), folder, ["tick", "priority", "channel", "pitch"])
+    parts = [F.regexp_extract("path", r"([^/]*)/([^/]*)$", k).alias(name) for k, name in ((1, "recording_id"), (2, "file"))]
+    return MF.read_messages(t.spark, folder, recursive=True).groupBy(*parts).agg(*_facts())
+
+
+@query("k6_m23_synced_files", sql(_MAP + """, s AS (SELECT n.recording_id, n.note_id, n.end_sec, CAST(greatest(0, round_even(m.tick + (n.start_sec - m.sec) * 480e6 / m.tempo, 0)) AS BIGINT) AS a FROM notes n ASOF JOIN tm m ON n.start_sec >= m.sec),
+ e AS (SELECT s.recording_id, a, greatest(a + 1, CAST(round_even(m.tick + (s.end_sec - m.sec) * 480e6 / m.tempo, 0) AS BIGINT)) AS z FROM s ASOF JOIN tm m ON s.end_sec >= m.sec), c AS (SELECT count(*) AS tempos, max(tick) AS top FROM tempo_map)
+ SELECT recording_id, count(*) AS notes, any_value(tempos) AS tempos, greatest(max(z), any_value(top)) AS length_ticks, CAST(sum(a) AS BIGINT) AS on_ticks, CAST(sum(z) AS BIGINT) AS off_ticks FROM e, c GROUP BY 1""", "tempo_map", "notes"))
+def k6(t: Tables) -> DataFrame:
+    """Notes at their seconds under the tempo map, as a file of one track for each recording, read back."""
+    m, folder = _per_recording(t), _folder(t)
+    n = t.notes.drop("start_tick", "end_tick")
+    n = MI.seconds_to_tick(MI.seconds_to_tick(n, "start_sec", m, 480, REC, "start_tick"), "end_sec", m, 480, REC, "end_tick")
+    n = n.withColumns({"path": F.concat("recording_id", F.lit(".mid")), "track": F.lit(0), "track_name": F.lit("Synced")})
+    MF.write_messages(MF.score(n, t.tempo_map, one_track=True), folder, ["tick", "priority", "channel", "pitch"])
+    ticks = [F.sum(F.when(F.col("kind") == kind, F.col("tick"))).alias(name) for kind, name in (("note_on", "on_ticks"), ("note_off", "off_ticks"))]
+    return MF.read_messages(t.spark, folder).groupBy(F.regexp_extract("path", r"([^/]*)\.mid$", 1).alias("recording_id")).agg(*_facts(), *ticks)

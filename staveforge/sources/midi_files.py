@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
+from staveforge.functions import exprs as E
+
 from . import smf
 from .shared import staged
 
@@ -251,29 +253,47 @@ def merge_folder(spark: SparkSession, folder: str, recursive: bool = False, dry_
     return out.select("path", "action", "output", *[f"source_{c}" for c in facts], *[F.coalesce(f"output_{c}", f"source_{c}").alias(f"output_{c}") for c in facts])
 
 
-def score(notes: DataFrame, tempo: DataFrame, ticks_per_beat: int = 480) -> DataFrame:
-    """Rows of write_messages for notes (path, track, track_name, start_tick, end_tick, pitch_midi, velocity, channel), tracks from 1.
+def score(notes: DataFrame, tempo: DataFrame, ticks_per_beat: int = 480, one_track: bool = False) -> DataFrame:
+    """Rows of write_messages for notes (path, track, track_name, start_tick, end_tick, pitch_midi, velocity, channel, and muted if there are such).
 
-    Track 0 of each path holds tempo (tick, tempo), a table of the same changes for all paths, at least one row. A note
-    lasts a tick or more; a null channel is 0; velocities stay within 1 to 127. At one tick offs come before ons, ties go
-    by channel and pitch. The choice of path splits: by recording, action, layer or track. Order: tick, priority, channel, pitch.
+    tempo (tick, tempo) is a table of the same changes for all paths, at least one row. It stands on track 0, named
+    Conductor, before the notes' tracks, which count from 1; with one_track all goes to one track of a format 0 file, which
+    takes the largest of the names. A note lasts a tick or more; a null channel is 0; velocities stay within 1 to 127.
+    Muted notes are left out, their tracks stay, but not a one_track file without other notes. At one tick offs come before
+    ons, ties go by channel and pitch. The choice of path splits: by recording, action, layer or track. Order of rows:
+    tick, priority, channel, pitch.
     """
+    loud = ~F.coalesce(F.col("muted"), F.lit(False)) if "muted" in notes.columns else F.lit(True)
+    n = notes.where(loud) if one_track else notes
+    n = n.withColumn("track", F.lit(0)) if one_track else n
     ch = F.coalesce("channel", F.lit(0)).cast("int")
-    end = F.greatest("end_tick", F.col("start_tick") + 1)
+    end = F.greatest("end_tick", F.col("start_tick") + 1).cast("long")
 
     def message(status: int, velocity: Column) -> Column:
         return F.unhex(F.concat(*[F.lpad(F.hex(x.cast("long")), 2, "0") for x in (ch + status, F.col("pitch_midi"), velocity)]))
 
-    both = F.array(
-        F.struct(F.col("start_tick").cast("long").alias("tick"), message(0x90, F.greatest(F.lit(1), F.least(F.lit(127), F.col("velocity")))).alias("raw"), F.lit(5).alias("priority")),
-        F.struct(end.cast("long").alias("tick"), message(0x80, F.lit(0)).alias("raw"), F.lit(4).alias("priority")),
-    )
-    sounds = notes.select("path", "track", F.explode(both).alias("e"), ch.alias("channel"), F.col("pitch_midi").alias("pitch")).select("path", "track", "e.*", "channel", "pitch")
-    tracks = notes.groupBy("path", "track").agg(F.max(end).cast("long").alias("last"), F.max("track_name").alias("name"))
-    edge = F.array(F.struct(F.lit(0).cast("long").alias("tick"), _named(F.coalesce("name", F.lit("Track"))).alias("raw"), F.lit(0).alias("priority")), F.struct(F.col("last").alias("tick"), F.unhex(F.lit("FF2F00")).alias("raw"), F.lit(9).alias("priority")))
-    edges = tracks.select("path", "track", F.explode(edge).alias("e")).select("path", "track", "e.*", F.lit(0).alias("channel"), F.lit(0).alias("pitch"))
-    changes = tempo.groupBy().agg(F.array_sort(F.collect_list(F.struct(F.col("tick").cast("long").alias("tick"), F.unhex(F.concat(F.lit("FF5103"), F.lpad(F.hex(F.col("tempo").cast("long")), 6, "0"))).alias("raw"), F.lit(1).alias("priority")))).alias("t"))
-    last = F.struct(F.array_max(F.transform("t", lambda x: x["tick"])).alias("tick"), F.unhex(F.lit("FF2F00")).alias("raw"), F.lit(9).alias("priority"))
-    changes = changes.select(F.concat("t", F.array(last)).alias("t"))  # one row
-    lead = notes.select("path").distinct().join(F.broadcast(changes), F.lit(True)).select("path", F.lit(0).alias("track"), F.explode("t").alias("e")).select("path", "track", "e.*", F.lit(0).alias("channel"), F.lit(0).alias("pitch"))
-    return sounds.unionByName(edges).unionByName(lead).withColumns({"format": F.lit(1), "ticks_per_beat": F.lit(ticks_per_beat)})
+    def row(tick: Column, raw: Column, place: int) -> Column:
+        return F.struct(tick.cast("long").alias("tick"), raw.alias("raw"), F.lit(place).alias("priority"))
+
+    def framed(df: DataFrame, rows: Column) -> DataFrame:
+        return df.select("path", "track", F.explode(rows).alias("e")).select("path", "track", "e.*", F.lit(0).alias("channel"), F.lit(0).alias("pitch"))
+
+    last = F.unhex(F.lit("FF2F00"))
+    both = F.array(row(F.col("start_tick"), message(0x90, F.greatest(F.lit(1), F.least(F.lit(127), F.col("velocity")))), 5), row(end, message(0x80, F.lit(0)), 4))
+    sounds = n.where(loud).select("path", "track", F.explode(both).alias("e"), ch.alias("channel"), F.col("pitch_midi").alias("pitch")).select("path", "track", "e.*", "channel", "pitch")
+    set_tempo = F.unhex(F.concat(F.lit("FF5103"), F.lpad(F.hex(F.col("tempo").cast("long")), 6, "0")))
+    changes = tempo.groupBy().agg(F.array_sort(F.collect_list(row(F.col("tick"), set_tempo, 1))).alias("changes"), F.max("tick").cast("long").alias("top"))  # one row
+    tracks = n.groupBy("path", "track").agg(F.coalesce(F.max(F.when(loud, end)), F.lit(0)).alias("last"), F.coalesce(F.max("track_name"), F.lit("Track")).alias("name"))
+    name = row(F.lit(0), _named(F.col("name")), 0)
+    if one_track:
+        out = framed(tracks.join(F.broadcast(changes)), F.concat(F.array(name), "changes", F.array(row(F.greatest("last", "top"), last, 9))))
+    else:
+        out = framed(tracks, F.array(name, row(F.col("last"), last, 9)))
+        lead = n.select("path", F.lit(0).alias("track")).distinct().join(F.broadcast(changes))
+        out = out.unionByName(framed(lead, F.concat(F.array(row(F.lit(0), _named(F.lit("Conductor")), 0)), "changes", F.array(row(F.col("top"), last, 9)))))
+    return sounds.unionByName(out).withColumns({"format": F.lit(0 if one_track else 1), "ticks_per_beat": F.lit(ticks_per_beat)})
+
+
+def track_file(index: Column, name: Column) -> Column:
+    """K8: 07_Name.mid; all but letters, digits, hyphen and underscore becomes an underscore, runs of it one, none at the ends."""
+    return F.concat(F.lpad(index.cast("string"), 2, "0"), F.lit("_"), E.track_name(F.trim(F.coalesce(name, F.lit("")))), F.lit(".mid"))

@@ -5,6 +5,7 @@ import random
 import struct
 
 import pytest
+from pyspark.sql import functions as F
 
 from staveforge.plans import catalog
 from staveforge.sources import midi_files as MF
@@ -87,6 +88,23 @@ def test_scores_split_by_path_come_back(spark, tmp_path):
         assert all([t for t, _ in v] == sorted(t for t, _ in v) and v[-1][1] == "end_of_track" for v in ticks.values())
 
 
+def test_one_track_and_muted_notes(spark, tmp_path):
+    rows = [("a.mid", 3, "A", 10, 20, 60, 64, 0, None), ("a.mid", 4, "B", 10, 12, 61, 64, 1, True), ("b.mid", 1, "Ab", 5, 5, 62, 1, None, True)]
+    notes = spark.createDataFrame(rows, NOTE + ", muted boolean")
+    tempo = spark.createDataFrame([(0, 500000), (96, 400000)], "tick long, tempo int")
+    for name, one in (("one", True), ("more", False)):
+        MF.write_messages(MF.score(notes, tempo, one_track=one), str(tmp_path / name), ORDER)
+    assert os.listdir(tmp_path / "one") == ["a.mid"]
+    e = list(smf.parse((tmp_path / "one" / "a.mid").read_bytes()))
+    assert [(x["format"], x["track"], x["tick"], x["kind"]) for x in e] == [(0, 0, *x) for x in ((0, "track_name"), (0, "tempo"), (10, "note_on"), (20, "note_off"), (96, "tempo"), (96, "end_of_track"))]
+    got = {n: [(x["track"], x["tick"], x["kind"], x["text"]) for x in smf.parse((tmp_path / "more" / n).read_bytes()) if x["kind"] != "tempo"] for n in ("a.mid", "b.mid")}
+    lead = [(0, 0, "track_name", "Conductor"), (0, 96, "end_of_track", None)]
+    assert got["a.mid"] == [*lead, (1, 0, "track_name", "A"), (1, 10, "note_on", None), (1, 20, "note_off", None), (1, 20, "end_of_track", None), (2, 0, "track_name", "B"), (2, 0, "end_of_track", None)]
+    assert got["b.mid"] == [*lead, (1, 0, "track_name", "Ab"), (1, 0, "end_of_track", None)]
+    names = spark.createDataFrame([(1, " a/b  c! "), (12, "Über-_x"), (3, None), (4, "__")], "i int, name string").select(MF.track_file(F.col("i"), F.col("name")).alias("f")).collect()
+    assert [x.f for x in names] == ["01_a_b_c.mid", "12_Über-_x.mid", "03_.mid", "04_.mid"]
+
+
 def test_a_write_that_fails_leaves_nothing(spark, tmp_path):
     rows = [("a.mid", 1, "A", 0, 1, 60, 64, 0), ("b.mid", 1, "B", 0, 1, None, 64, 0)]  # a null pitch has no bytes
     notes = spark.createDataFrame(rows, NOTE)

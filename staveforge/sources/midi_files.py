@@ -24,6 +24,8 @@ MESSAGES = "path string, format int, ticks_per_beat int, track int, ord int, tic
 WRITTEN = "path string, format int, ticks_per_beat int, track int, tick long, raw binary"
 #: Bytes of files that a reading task takes, but for a single larger file.
 TASK_BYTES = 64 << 20
+#: Changes of a tempo map that score() takes; they are broadcast as one row.
+TEMPO_CHANGES = 100_000
 _BATCH = 1 << 15
 _ARROW = pa.schema([("path", pa.string()), ("format", pa.int32()), ("ticks_per_beat", pa.int32()), ("track", pa.int32()), ("ord", pa.int32()), ("tick", pa.int64()), ("kind", pa.string()), ("channel", pa.int32()), ("data1", pa.int32()), ("data2", pa.int32()), ("tempo", pa.int32()), ("raw", pa.binary())])
 
@@ -256,13 +258,15 @@ def merge_folder(spark: SparkSession, folder: str, recursive: bool = False, dry_
 def score(notes: DataFrame, tempo: DataFrame, ticks_per_beat: int = 480, one_track: bool = False) -> DataFrame:
     """Rows of write_messages for notes (path, track, track_name, start_tick, end_tick, pitch_midi, velocity, channel, and muted if there are such).
 
-    tempo (tick, tempo) is a table of the same changes for all paths, at least one row. It stands on track 0, named
+    tempo (tick, tempo) is a table of the same changes for all paths, of 1 to TEMPO_CHANGES rows (else ValueError). It stands on track 0, named
     Conductor, before the notes' tracks, which count from 1; with one_track all goes to one track of a format 0 file, which
     takes the largest of the names. A note lasts a tick or more; a null channel is 0; velocities stay within 1 to 127.
     Muted notes are left out, their tracks stay, but not a one_track file without other notes. At one tick offs come before
     ons, ties go by channel and pitch. The choice of path splits: by recording, action, layer or track. Order of rows:
     tick, priority, channel, pitch.
     """
+    if not 1 <= tempo.limit(TEMPO_CHANGES + 1).count() <= TEMPO_CHANGES:
+        raise ValueError(f"a tempo map has 1 to {TEMPO_CHANGES} changes")
     loud = ~F.coalesce(F.col("muted"), F.lit(False)) if "muted" in notes.columns else F.lit(True)
     n = notes.where(loud) if one_track else notes
     n = n.withColumn("track", F.lit(0)) if one_track else n

@@ -114,6 +114,14 @@ def test_a_write_that_fails_leaves_nothing(spark, tmp_path):
     assert os.listdir(tmp_path) == []
 
 
+def test_tempo_maps_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(MF, "TEMPO_CHANGES", 3)
+    notes = spark.createDataFrame([("a.mid", 1, "A", 0, 1, 60, 64, 0)], NOTE)
+    for n in (0, 4):
+        with pytest.raises(ValueError):
+            MF.score(notes, spark.range(n).select(F.col("id").alias("tick"), F.lit(500000).alias("tempo")))
+
+
 def test_empty_folder_and_remote_paths(spark, tmp_path):
     assert MF.read_messages(spark, str(tmp_path)).count() == 0
     assert MF.merge_folder(spark, str(tmp_path)).count() == 0

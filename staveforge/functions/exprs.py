@@ -12,6 +12,13 @@ def clip(x: Column, lo: float, hi: float) -> Column:
     return F.least(F.lit(hi), F.greatest(F.lit(lo), x))
 
 
+def round_half(x: Column, digits: int) -> Column:
+    """x, of either sign, rounded as a double: half away from zero of x * 10**digits. F.round rounds the decimal form of x, which differs where that is a tie and the double is not."""
+    m = F.abs(x) * F.lit(10.0**digits)
+    whole = F.floor(m).cast("double")
+    return F.signum(x) * (whole + F.when(m - whole >= 0.5, 1.0).otherwise(0.0)) / F.lit(10.0**digits)
+
+
 def energy_score(mean: Column, top: Column, minimum: float) -> Column:
     """P1."""
     if minimum <= 0:

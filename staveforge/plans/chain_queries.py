@@ -314,7 +314,7 @@ def s4(t: Tables) -> DataFrame:
 @query("k15_hit_csv", sql(f" SELECT recording_id, hit_id, hit_id || ',' || class_name || ',' || printf('%.6f', round(onset_sec, 6)) || ',' || printf('%.4f', round(confidence, 4)) || ',' || coalesce({_REJECT}, '') AS line FROM hits", "hits"))
 def k15(t: Tables) -> DataFrame:
     """A line of the debug CSV for each raw hit, rejected ones too."""
-    f = lambda c, d: F.format_string(f"%.{d}f", F.round(c, d))
+    f = lambda c, d: F.format_string(f"%.{d}f", E.round_half(F.col(c), d))
     return t.hits.select(*REC, "hit_id", F.concat_ws(",", F.col("hit_id").cast("string"), "class_name", f("onset_sec", 6), f("confidence", 4), F.coalesce(_reject(), F.lit(""))).alias("line"))
 
 

@@ -63,15 +63,34 @@ def normalise_envelope(df: DataFrame, col: str, by: list[str], out: str) -> Data
     return s.join(p95, by).withColumn(out, F.when(F.col("__p95") <= 1e-9, 0.0).otherwise(F.least(F.lit(2.5), F.col("__x") / F.col("__p95")))).drop("__p5", "__p95", "__x")
 
 
+def _between(low, high, part):
+    """low * (1 - part) + high * part, with the sum rounded once, as SQL engines that fuse multiply and add do."""
+    return math.fma(low, 1 - part, high * part)
+
+
+def quantile(df: DataFrame, by: list[str], value: Column, at: float, out: str) -> DataFrame:
+    """(by, out): the value at `at` of all non-null values, between its two neighbours in order; one row a key.
+
+    F.percentile rounds both products, which is off by one last place where the neighbours are almost equal, so that
+    rows that equal the percentile fall on its other side.
+    """
+    v = df.select(*by, value.alias("__v")).where("__v is not null")
+    w = Window.partitionBy(*by)
+    pos = (F.count("__v").over(w) - 1) * F.lit(at)
+    r = v.select(*by, "__v", F.row_number().over(w.orderBy("__v")).alias("__r"), pos.alias("__p")).where("__r - 1 = floor(__p) or __r - 1 = ceil(__p)")
+    e = r.groupBy(*by).agg(F.min("__v").alias("__l"), F.max("__v").alias("__h"), F.max(F.col("__p") - F.floor("__p")).alias("__f"))
+    return e.select(*by, F.when(F.col("__f") > 0, F.udf(_between, "double")("__l", "__h", "__f")).otherwise(F.col("__l")).alias(out))
+
+
 def classify(df: DataFrame, by: list[str]) -> DataFrame:
     """P10: frame_class from percentiles of a whole recording; silence before attack before tail before sustain.
 
     df: by, rms_smooth, envelope_delta, onset_strength.
     """
-    q = df.groupBy(*by).agg(
-        F.percentile(F.when(F.col("rms_smooth") > 0, F.col("rms_smooth")), 0.2).alias("__s"), F.percentile("onset_strength", 0.75).alias("__o"),
-        F.percentile(F.when(F.col("envelope_delta") > 0, F.col("envelope_delta")), 0.6).alias("__a"), F.percentile(F.when(F.col("envelope_delta") < 0, F.col("envelope_delta")), 0.4).alias("__t"),
-    )
+    delta_ = F.col("envelope_delta")
+    q = df.select(*by).distinct()
+    for name, col, at in (("__s", F.when(F.col("rms_smooth") > 0, F.col("rms_smooth")), 0.2), ("__o", F.col("onset_strength"), 0.75), ("__a", F.when(delta_ > 0, delta_), 0.6), ("__t", F.when(delta_ < 0, delta_), 0.4)):
+        q = q.join(quantile(df, by, col, at, name), by, "left")
     silence, onset = F.greatest(F.lit(1e-5), 0.35 * F.coalesce("__s", F.lit(0.0))), F.greatest(F.lit(1e-7), 0.6 * F.coalesce("__o", F.lit(0.0)))
     kind = F.when(F.col("rms_smooth") <= silence, "silence").when((F.col("onset_strength") >= onset) & (F.col("envelope_delta") >= F.coalesce("__a", F.lit(0.0))), "attack").when(F.col("envelope_delta") <= F.coalesce("__t", F.lit(0.0)), "tail").otherwise("sustain")
     return df.join(q, by).withColumn("frame_class", kind).drop("__s", "__o", "__a", "__t")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from staveforge.functions import exprs as E
 from staveforge.operators import align as AL
 from staveforge.operators import validate as V
-from staveforge.operators.timejoin import band_join, interval_join, nearest_join
+from staveforge.operators import windows as W
+from staveforge.operators.timejoin import interval_join, nearest_join
 from staveforge.sources.adapters import Tables
 from staveforge.sources.shared import staged
 
@@ -159,8 +160,7 @@ def a5(t: Tables) -> DataFrame:
 
 @query("j7_window_frames", sql(" SELECT n.recording_id, n.note_id, count(*) AS frames FROM notes n JOIN frames f ON f.recording_id = n.recording_id AND abs(f.start_sec - n.end_sec) <= 0.4 GROUP BY ALL", "notes", "frames"))
 def j7(t: Tables) -> DataFrame:
-    p = band_join(t.notes.select("recording_id", "note_id", "end_sec"), t.frames.select("recording_id", "start_sec"), ["recording_id"], "end_sec", "start_sec", 0.4)
-    return p.groupBy("recording_id", "note_id").agg(F.count(F.lit(1)).alias("frames"))
+    return W.band_counts(t.notes.select("recording_id", "note_id", F.col("end_sec").alias("start_sec")), t.frames, ["recording_id"], "note_id", 0.4).withColumnRenamed("n", "frames")
 
 
 @query("m1_align_notes")

@@ -17,6 +17,7 @@ from staveforge.sources.shared import staged
 
 from .islands import merge_spans
 from .timejoin import asof_join, band_join, interval_join
+from .windows import overlap_best, overlap_mode, overlap_stats
 
 REC = ["recording_id"]
 
@@ -144,14 +145,14 @@ def overhangs(notes: DataFrame, regions: DataFrame, frames: DataFrame, pitch: Da
     bridged = interval_join(bridge, r, REC, p.bucket).select(*REC, "note_id").distinct().withColumn("bridged", F.lit(True))
     points = frames.select(*REC, "start_sec", F.col("start_sec").alias("end_sec"), F.col("rms").alias("v"))
 
-    def window(a: Column, b: Column, right: DataFrame, *aggs: Column) -> DataFrame:
+    def window(a: Column, b: Column, right: DataFrame, *values: str) -> DataFrame:
         w = o.select(*REC, "note_id", a.alias("start_sec"), b.alias("end_sec"))
-        return interval_join(w, right, REC, p.bucket, closed=True).groupBy(*REC, "note_id").agg(*aggs)
+        return overlap_stats(w, right, REC, "note_id", list(values), closed=True, width=p.bucket)
 
     until = lambda hold: F.greatest("cand", F.least("end_sec", F.col("cand") + hold))
-    after = window(F.col("cand"), until(p.sustain_hold), points, F.avg("r_v").alias("after_mean"), F.max("r_v").alias("after_max"))
-    own = window(F.col("start_sec"), F.col("end_sec"), points, F.max("r_v").alias("own_max"))
-    tone = window(F.col("cand"), until(p.pitch_hold), pitch.select(*REC, "start_sec", "end_sec", "voiced", F.col("confidence").alias("sure")), F.max("r_voiced").alias("voiced"), F.avg("r_sure").alias("sure"))
+    after = window(F.col("cand"), until(p.sustain_hold), points, "v").select(*REC, "note_id", F.col("avg_v").alias("after_mean"), F.col("max_v").alias("after_max"))
+    own = window(F.col("start_sec"), F.col("end_sec"), points, "v").select(*REC, "note_id", F.col("max_v").alias("own_max"))
+    tone = window(F.col("cand"), until(p.pitch_hold), pitch.select(*REC, "start_sec", "end_sec", "voiced", F.col("confidence").alias("sure")), "voiced", "sure").select(*REC, "note_id", (F.col("max_voiced") > 0).alias("voiced"), F.col("avg_sure").alias("sure"))
     for x in (bridged, after, own, tone):
         o = o.join(x, [*REC, "note_id"], "left")
     legato = (gap <= p.legato_window) & (F.coalesce("bridged", F.lit(False)) | (gap < p.legato_silence))
@@ -173,18 +174,19 @@ def splits(notes: DataFrame, frames: DataFrame, pitch: DataFrame, p: Repair) ->
     n = notes.where(F.round(F.col("end_sec") - F.col("start_sec"), 9) >= p.split_min).select(*REC, "note_id", F.col("start_sec").alias("s"), F.col("end_sec").alias("e"), (F.col("start_sec") + p.split_edge).alias("a"), (F.col("end_sec") - p.split_edge).alias("b")).where("b > a")
     points = frames.select(*REC, "start_sec", F.col("start_sec").alias("end_sec"), "frame_index", F.col("onset_score").alias("v"))
 
-    def window(a: Column, b: Column, right: DataFrame) -> DataFrame:
-        return interval_join(n.select(*REC, "note_id", a.alias("start_sec"), b.alias("end_sec")), right, REC, p.bucket, closed=True)
+    def window(a: Column, b: Column) -> DataFrame:
+        return n.select(*REC, "note_id", a.alias("start_sec"), b.alias("end_sec"))
 
-    peak = window(F.col("a"), F.col("b"), points).groupBy(*REC, "note_id").agg(F.min(F.struct((-F.col("r_v")).alias("v"), F.col("r_frame_index").alias("i"), F.col("r_start_sec").alias("t"))).alias("k"), F.avg("r_v").alias("mean"))
+    inner = window(F.col("a"), F.col("b"))
+    best = overlap_best(inner, points, REC, "note_id", "v", True, p.bucket).select(*REC, "note_id", F.struct((-F.col("v")).alias("v"), F.col("frame_index").alias("i"), F.col("at").alias("t")).alias("k"))
+    peak = best.join(overlap_stats(inner, points, REC, "note_id", ["v"], True, p.bucket).select(*REC, "note_id", F.col("avg_v").alias("mean")), [*REC, "note_id"])
     n = n.join(peak, [*REC, "note_id"]).withColumns({"onset": -F.col("k.v"), "t": F.col("k.t")}).drop("k").where(F.col("onset") >= F.greatest(F.lit(1e-6), F.col("mean") * p.split_onset_ratio))
-    valley = window(F.greatest("s", F.col("t") - p.split_back), F.col("t"), points).groupBy(*REC, "note_id").agg(F.avg("r_v").alias("valley"))
+    valley = overlap_stats(window(F.greatest("s", F.col("t") - p.split_back), F.col("t")), points, REC, "note_id", ["v"], True, p.bucket).select(*REC, "note_id", F.col("avg_v").alias("valley"))
     n = n.join(valley, [*REC, "note_id"], "left").withColumn("valley", F.coalesce("valley", F.lit(0.0))).where(F.round("valley", 9) <= F.greatest(F.lit(1e-6), F.round(F.col("onset") * p.split_valley, 9)))
-    tones = pitch.where("voiced").select(*REC, "start_sec", "end_sec", "frame_index", F.rint(E.hz_to_midi(F.col("f0_hz"))).cast("int").alias("pm"))
+    tones = pitch.where("voiced").select(*REC, "start_sec", "end_sec", "frame_index", F.rint(E.hz_to_midi(F.col("f0_hz"))).cast("int").alias("pm"), F.lit(1.0).alias("one"))
 
     def dominant(a: Column, b: Column, out: str) -> DataFrame:
-        c = window(a, b, tones).groupBy(*REC, "note_id", "r_pm").agg(F.count(F.lit(1)).alias("c"), F.min("r_frame_index").alias("f"))
-        return c.groupBy(*REC, "note_id").agg(F.min(F.struct((-F.col("c")).alias("c"), "f", F.col("r_pm").alias("pm"))).alias("d")).select(*REC, "note_id", F.col("d.pm").alias(out))
+        return overlap_mode(window(a, b), tones, REC, "note_id", "pm", "one", p.bucket).select(*REC, "note_id", F.col("pm").alias(out))
 
     n = n.join(dominant(F.col("a"), F.greatest("a", F.col("t") - 0.04), "p0"), [*REC, "note_id"], "left").join(dominant(F.least("b", F.col("t") + 0.04), F.col("b"), "p1"), [*REC, "note_id"], "left")
     change = F.coalesce(F.abs(F.col("p1") - F.col("p0")).cast("double"), F.lit(0.0))
@@ -231,8 +233,7 @@ def repair(notes: DataFrame, regions: DataFrame, frames: DataFrame, pitch: DataF
 def dominant_pitch(notes: DataFrame, pitch: DataFrame, bucket: float) -> DataFrame:
     """(recording_id, note_id, expected): the pitch with most confidence under a note, the first of equals; notes without voiced frames have no row."""
     f = pitch.where("voiced").select(*REC, "start_sec", "end_sec", "frame_index", "confidence", F.rint(E.hz_to_midi(F.col("f0_hz"))).cast("int").alias("pm"))
-    s = interval_join(notes.select(*REC, "note_id", "start_sec", "end_sec"), f, REC, bucket, closed=True).groupBy(*REC, "note_id", "r_pm").agg(F.round(F.sum("r_confidence"), 9).alias("c"), F.min("r_frame_index").alias("f"))
-    return s.groupBy(*REC, "note_id").agg(F.min(F.struct((-F.col("c")).alias("c"), "f", F.col("r_pm").alias("p"))).alias("b")).select(*REC, "note_id", F.col("b.p").alias("expected"))
+    return overlap_mode(notes.select(*REC, "note_id", "start_sec", "end_sec"), f, REC, "note_id", "pm", "confidence", bucket).select(*REC, "note_id", F.col("pm").alias("expected"))
 
 
 def error_regions(notes: DataFrame, regions: DataFrame, pitch: DataFrame, bucket: float = 4.0) -> DataFrame:
@@ -284,7 +285,8 @@ def restrict(before: DataFrame, after: DataFrame, errors: DataFrame, bucket: flo
     """Changes outside error regions of a severity of 0.2 are taken back, new notes there are dropped; a recording without such regions stays as it is."""
     e = errors.where(F.round("severity", 9) >= 0.20).select(*REC, "start_sec", "end_sec")
     c = changes(before, after)
-    inside = interval_join(c.select(*REC, "note_id", "start_sec", "end_sec"), e, REC, bucket).select(*REC, "note_id").distinct().withColumn("inside", F.lit(True))
+    # Errors that overlap are one span; spans that only touch stay apart, so the result is that of the single errors.
+    inside = interval_join(c.select(*REC, "note_id", "start_sec", "end_sec"), merge_spans(e, REC, -1e-12).select(*REC, "start_sec", "end_sec"), REC, bucket).select(*REC, "note_id").distinct().withColumn("inside", F.lit(True))
     c = c.join(inside, [*REC, "note_id"], "left").join(e.select(*REC).distinct().withColumn("bound", F.lit(True)), REC, "left")
     out = F.coalesce("bound", F.lit(False)) & ~F.coalesce("inside", F.lit(False))
     back = out & (F.col("kind") == "CHANGED")

@@ -9,7 +9,9 @@ from pyspark.sql import Window
 from staveforge.functions import exprs as E
 from staveforge.operators import frames as FR
 from staveforge.operators import islands as IS
-from staveforge.operators.timejoin import asof_join, band_join, interval_join
+from staveforge.operators import repair as RP
+from staveforge.operators import windows as W
+from staveforge.operators.timejoin import asof_join, interval_join
 from staveforge.sources.adapters import Tables
 
 from .registry import query, sql
@@ -181,37 +183,29 @@ def j16(t: Tables) -> DataFrame:
 
 @query("j17_closest_note", sql(", q AS (SELECT recording_id, frame_index, start_sec AS t FROM frames), c AS (SELECT q.recording_id, frame_index, note_id, row_number() OVER (PARTITION BY q.recording_id, frame_index ORDER BY round(least(abs(n.start_sec - t), abs(n.end_sec - t)), 9), n.start_sec, note_id) AS rn FROM q JOIN notes n ON n.recording_id = q.recording_id AND least(abs(n.start_sec - t), abs(n.end_sec - t)) <= 0.8) SELECT recording_id, frame_index, note_id FROM c WHERE rn = 1", "frames", "notes"))
 def j17(t: Tables) -> DataFrame:
-    q = t.frames.select(*REC, "frame_index", F.col("start_sec").alias("t"))
-    edges = t.notes.select(*REC, "note_id", "start_sec", F.explode(F.array("start_sec", "end_sec")).alias("edge"))
-    p = band_join(q, edges, REC, "t", "edge", 0.8)
-    best = p.groupBy(*REC, "frame_index").agg(F.min(F.struct(F.round(F.abs(F.col("r_edge") - F.col("t")), 9).alias("d"), F.col("r_start_sec").alias("s"), F.col("r_note_id").alias("note_id"))).alias("b"))
-    return best.select(*REC, "frame_index", "b.note_id")
+    edges = t.notes.select(*REC, "note_id", F.col("start_sec").alias("s"), F.explode(F.array("start_sec", "end_sec")).alias("start_sec"))
+    return W.nearest_edge(t.frames, edges, REC, "frame_index", ["s", "note_id"], 0.8).select(*REC, "frame_index", "note_id")
 
 
 _PW = """, pj AS (SELECT n.recording_id, n.note_id, p.voiced, p.confidence, CAST(round_even(69 + 12 * log2(p.f0_hz / 440), 0) AS INTEGER) AS pm, p.frame_index FROM notes n JOIN pitch_frames p ON p.recording_id = n.recording_id AND p.start_sec <= n.end_sec AND p.end_sec >= n.start_sec)"""
 
 
-def _pitch_pairs(t: Tables) -> DataFrame:
-    p = t.pitch_frames.withColumn("pm", F.rint(E.hz_to_midi(F.col("f0_hz"))).cast("int"))
-    return interval_join(t.notes.select(*REC, "note_id", "start_sec", "end_sec"), p, REC, 0.5, closed=True)
-
-
 @query("j18_pitch_window", sql(_PW + " SELECT recording_id, note_id, count(*) AS frames, round(avg(CASE WHEN voiced THEN 1.0 ELSE 0.0 END), 9) AS voiced_ratio, round(avg(confidence), 9) AS mean_confidence FROM pj GROUP BY ALL", "notes", "pitch_frames"))
 def j18(t: Tables) -> DataFrame:
-    return _pitch_pairs(t).groupBy(*REC, "note_id").agg(F.count(F.lit(1)).alias("frames"), F.round(F.avg(F.col("r_voiced").cast("double")), 9).alias("voiced_ratio"), F.round(F.avg("r_confidence"), 9).alias("mean_confidence"))
+    p = W.overlap_stats(t.notes, t.pitch_frames, REC, "note_id", ["voiced", "confidence"], closed=True)
+    return p.select(*REC, "note_id", F.col("n").alias("frames"), F.round("avg_voiced", 9).alias("voiced_ratio"), F.round("avg_confidence", 9).alias("mean_confidence"))
 
 
 @query("j19_best_pitch", sql(_PW + ", r AS (SELECT *, row_number() OVER (PARTITION BY recording_id, note_id ORDER BY confidence DESC, frame_index) AS rn FROM pj WHERE voiced AND confidence >= 0.5) SELECT recording_id, note_id, pm AS pitch_midi FROM r WHERE rn = 1", "notes", "pitch_frames"))
 def j19(t: Tables) -> DataFrame:
-    p = _pitch_pairs(t).where("r_voiced and r_confidence >= 0.5")
-    b = p.groupBy(*REC, "note_id").agg(F.min(F.struct((-F.col("r_confidence")).alias("c"), F.col("r_frame_index").alias("i"), F.col("r_pm").alias("pitch_midi"))).alias("b"))
-    return b.select(*REC, "note_id", "b.pitch_midi")
+    f = t.pitch_frames.where("voiced and confidence >= 0.5")
+    b = W.overlap_best(t.notes, f, REC, "note_id", "confidence", closed=True).select(*REC, "note_id", "frame_index")
+    return b.join(f.select(*REC, "frame_index", F.rint(E.hz_to_midi(F.col("f0_hz"))).cast("int").alias("pitch_midi")), [*REC, "frame_index"]).select(*REC, "note_id", "pitch_midi")
 
 
 @query("j20_dominant_pitch", sql(_PW + ", s AS (SELECT recording_id, note_id, pm, round(sum(confidence), 9) AS c, min(frame_index) AS f FROM pj WHERE voiced GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY recording_id, note_id ORDER BY c DESC, f) AS rn FROM s) SELECT recording_id, note_id, pm AS pitch_midi FROM r WHERE rn = 1", "notes", "pitch_frames"))
 def j20(t: Tables) -> DataFrame:
-    s = _pitch_pairs(t).where("r_voiced").groupBy(*REC, "note_id", "r_pm").agg(F.round(F.sum("r_confidence"), 9).alias("c"), F.min("r_frame_index").alias("f"))
-    return s.groupBy(*REC, "note_id").agg(F.min(F.struct((-F.col("c")).alias("c"), "f", F.col("r_pm").alias("p"))).alias("b")).select(*REC, "note_id", F.col("b.p").alias("pitch_midi"))
+    return RP.dominant_pitch(t.notes, t.pitch_frames, 4.0).select(*REC, "note_id", F.col("expected").alias("pitch_midi"))
 
 
 @query("a8_pitch_report", sql(" SELECT recording_id, round(avg(CASE WHEN voiced THEN 1.0 ELSE 0.0 END), 9) AS voiced_ratio, round(avg(confidence), 9) AS mean_confidence, round(min(f0_hz) FILTER (voiced), 6) AS min_hz, round(max(f0_hz) FILTER (voiced), 6) AS max_hz FROM pitch_frames GROUP BY 1", "pitch_frames"))

@@ -7,6 +7,7 @@ import pytest
 
 from staveforge.operators import align as A
 from staveforge.operators import validate as V
+from staveforge.operators import windows as W
 
 NOTE, FRAME = "recording_id string, note_id string, start_sec double, end_sec double, anchor double", "recording_id string, frame_index int, start_sec double, end_sec double, onset_score double, rms double, is_silent boolean, rise double"
 
@@ -47,3 +48,28 @@ def test_dense_recording_is_not_paired(spark):
     assert V.onset_top1(n, f, 0.5).selectExpr("count(*) AS c", "max(onset_score) AS m").first() == (30000, 29999 / 30000)
     assert V.note_evidence(n, f).where("mean_rms = 0.5 and n_frames > 0").count() == 30000
     assert time.time() - began < 60
+
+
+@pytest.mark.parametrize("seed, overlapping", [(3, False), (4, True)])
+def test_overlap_and_edges_equal_plain_loops(spark, seed, overlapping):
+    notes, frames, n, f = tables(spark, seed, 50, 70, overlapping)
+    f = f.selectExpr("*", "frame_index % 5 AS pm")
+    by = ["recording_id"]
+    stats = {r.note_id: r for r in W.overlap_stats(n, f, by, "note_id", ["rms"], True).collect()}
+    best = {r.note_id: r.frame_index for r in W.overlap_best(n, f, by, "note_id", "onset_score", True).collect()}
+    mode = {r.note_id: r.pm for r in W.overlap_mode(n, f, by, "note_id", "pm", "rms").collect()}
+    count = {r.note_id: r.n for r in W.band_counts(n, f, by, "note_id", 0.4).collect()}
+    edge = {r.frame_index: r.id for r in W.nearest_edge(f, n.selectExpr("recording_id", "note_id AS id", "start_sec"), by, "frame_index", ["id"], 0.8).collect()}
+    for _, k, s, e, _ in notes:
+        over = [x for x in frames if x[3] >= s and x[2] <= e]
+        assert (k in stats) == bool(over)
+        if over:
+            assert (stats[k].n, stats[k].max_rms) == (len(over), max(x[5] for x in over))
+            assert stats[k].avg_rms == pytest.approx(sum(x[5] for x in over) / len(over))
+            groups = {x[1] % 5 for x in over}
+            assert mode[k] == min(groups, key=lambda p: (-round(sum(x[5] for x in over if x[1] % 5 == p), 9), min(x[1] for x in over if x[1] % 5 == p)))
+        assert best.get(k) == min(over, key=lambda x: (-x[4], x[1]), default=(0, None))[1]
+        assert count.get(k, 0) == sum(abs(x[2] - s) <= 0.4 for x in frames)
+    for x in frames:
+        near = [(abs(m[2] - x[2]), m[1]) for m in notes if abs(m[2] - x[2]) <= 0.8]
+        assert edge.get(x[1]) == min(near, default=(0, None))[1]

@@ -353,7 +353,7 @@ def _qa(t: Tables) -> DataFrame:
     j = plan.join(n, [*REC, "note_id"]).join(out, [*REC, "note_id"], "left")
     shift = lambda a, b: F.rint((F.col(a) - F.col(b)) * 1000).cast("long")
     tags = F.concat_ws("; ", "phase_1", "phase_2", F.when(F.col("cut"), "SPLIT"), F.when(F.col("phase_5"), "GAP_CLOSED"))
-    return j.select(*REC, "note_id", "plan_action", F.round("confidence", 6).alias("confidence"), shift("start_sec", "s0").alias("start_shift_ms"), shift("end_sec", "e0").alias("end_shift_ms"), tags.alias("actions"))
+    return j.select(*REC, "note_id", "plan_action", E.round_half(F.col("confidence"), 6).alias("confidence"), shift("start_sec", "s0").alias("start_shift_ms"), shift("end_sec", "e0").alias("end_shift_ms"), tags.alias("actions"))
 
 
 @query("m27_qa_report", sql(_STEM + _QA + " SELECT * FROM qa", "frames", "notes", "pitch_frames"))

@@ -23,3 +23,16 @@ def test_round_half_rounds_the_double(spark):
     want = duckdb.execute("SELECT round(x, 6) AS y FROM got").df()["y"]
     assert (got["y"] == want).all()
     assert (got["decimal"] != want).any()
+
+
+def test_qa_report_rounds_confidence_as_a_double(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from staveforge.plans import chain_queries as C
+
+    rows = spark.range(20000).select(F.lit("a").alias("recording_id"), F.format_string("n%05d", "id").alias("note_id"), (F.col("id") / 1e6 + F.lit(0.0880005)).alias("confidence"), F.lit("KEEP").alias("plan_action"))
+    notes = rows.select("recording_id", "note_id", F.lit(0.0).alias("start_sec"), F.lit(1.0).alias("end_sec"))
+    out = notes.select("*", *[F.lit(None).cast("string").alias(c) for c in ("phase_1", "phase_2")], F.lit(False).alias("cut"), F.lit(False).alias("phase_5"))
+    monkeypatch.setattr(C, "_stem", lambda t: (rows, None, out, None, None))
+    got = C._qa(SimpleNamespace(notes=notes)).select("note_id", "confidence").toPandas().merge(rows.select("note_id", F.col("confidence").alias("x")).toPandas())
+    assert (got["confidence"] == duckdb.execute("SELECT round(x, 6) AS y FROM got").df()["y"]).all()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from staveforge.operators import completion as C
 from staveforge.sources.adapters import Tables
+from staveforge.sources.shared import staged_by
 
 from .registry import query, sql
 
@@ -54,7 +55,7 @@ def a22(t: Tables) -> DataFrame:
    + 0.10 * least(1.0, CAST(greatest(0, gap - 1) AS DOUBLE) / greatest(1.0, per)) + CASE WHEN n = 0 THEN 0.10 ELSE 0.0 END)), 6) AS score FROM mc WHERE miss >= greatest(1, ceil(len(due) * 0.5))""", "phrases"))
 def a38(t: Tables) -> DataFrame:
     """Sparse bars in which a family is due."""
-    b = _bars(t)
+    b = staged_by(_bars(t), REC)
     return C.missing_expected(b, C.families(b)).select(*REC, "bar", "family_id", F.size("missing").alias("missing"), "score")
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +32,37 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def dealt(df: DataFrame, by: list[str]) -> DataFrame:
+    """df with the rows of a key of by in one of as many partitions as shuffles have."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
+@contextmanager
+def copartitioned(spark: SparkSession) -> Iterator[None]:
+    """Plans made inside join tables that lie by some of the join's keys as they lie; Spark else exchanges both sides by all keys."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name, "true")
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def staged_by(df: DataFrame, by: list[str]) -> DataFrame:
+    """df staged as staged() does, in buckets by the columns by, one for each shuffle partition.
+
+    Aggregates and windows whose keys contain by read such tables without another exchange, and so do joins that a further
+    staged_by() writes; a key of by is one task there.
+    """
+    spark, name = df.sparkSession, f"staged_{uuid.uuid4().hex}"
+    parts, path = int(spark.conf.get("spark.sql.shuffle.partitions")), f"{shared_dir(spark)}/{name}"
+    with copartitioned(spark):
+        dealt(df, by).write.format("parquet").bucketBy(parts, *by).option("path", path).saveAsTable(name)
+    atexit.register(_remove, spark, path)
+    return spark.table(name)
+
+
 def staged(df: DataFrame) -> DataFrame:
     """df written as Parquet to the shared folder and read back, so that its lineage ends there.
 

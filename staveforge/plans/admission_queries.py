@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from staveforge.operators import admission as A
 from staveforge.operators import completion as C
 from staveforge.sources.adapters import Tables
-from staveforge.sources.shared import staged
+from staveforge.sources.shared import staged_by
 
 from .registry import query
 
@@ -27,7 +27,7 @@ def proposed(t: Tables) -> DataFrame:
 
 def regions(t: Tables) -> DataFrame:
     """Bars with two notes at most, each a region with the pitches of the bars beside it."""
-    b = staged(C.bars(C.on_bars(t.phrases, t.phrase_timing)))
+    b = staged_by(C.bars(C.on_bars(t.phrases, t.phrase_timing)), REC)
     near = b.select(*REC, "pitches", F.explode(F.array(F.col("bar") - 1, F.col("bar") + 1)).alias("bar")).select(*REC, "bar", F.explode("pitches").alias("p"))
     local = near.groupBy(*REC, "bar").agg(F.array_sort(F.collect_set("p")).alias("pitches"))
     r = b.where("n <= 2").drop("pitches").join(local, [*REC, "bar"])
@@ -42,13 +42,19 @@ def limits(t: Tables) -> DataFrame:
     return t.phrases.groupBy(*REC).agg(F.max("end_sec").alias("duration_sec"), (3 + F.count(F.lit(1)) % 5).alias("most_notes"))
 
 
+def _admitted(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """The verdicts and the regions. All steps go by recording, so notes and regions are staged by it and exchanged once."""
+    t.phrases = staged_by(t.phrases, REC)
+    r = staged_by(regions(t), REC)
+    return staged_by(A.admit(staged_by(proposed(t), REC), t.phrases, r, staged_by(limits(t), REC)), REC), r
+
+
 @query("m22_p26_admission")
 def m22(t: Tables) -> DataFrame:
     """The verdict on every proposed note."""
-    return A.admit(proposed(t), t.phrases, regions(t), limits(t))
+    return _admitted(t)[0]
 
 
 @query("a39_region_report")
 def a39(t: Tables) -> DataFrame:
-    r = regions(t)
-    return A.region_report(A.admit(proposed(t), t.phrases, r, limits(t)), r)
+    return A.region_report(*_admitted(t))

@@ -88,7 +88,7 @@ def missing_coverage(regions: DataFrame, notes: DataFrame, pitch: DataFrame, p:
     """
     spans = merge_spans(notes, REC, p.close_gap)
     r = covered(regions, spans, p.bucket).where(F.round(F.col("end_sec") - F.col("start_sec") - F.col("covered"), 9) >= p.missing_min)
-    r = r.select(*REC, "start_sec", "end_sec", "confidence")
+    r = staged(r.select(*REC, "start_sec", "end_sec", "confidence"))
     slim = notes.select(*REC, "note_id", "start_sec", "end_sec", "pitch_midi")
     inside = interval_join(r, slim, REC, p.bucket).groupBy(*REC, "start_sec").agg(F.min(F.struct((-F.col("r_end_sec")).alias("e"), F.col("r_start_sec").alias("s"), F.col("r_note_id").alias("id"))).alias("i"))
     ends = slim.groupBy(*REC, F.col("end_sec").alias("at")).agg(F.min(F.struct("start_sec", "note_id")).alias("b")).select(*REC, "at", F.col("at").alias("before_end"), F.col("b.note_id").alias("before_id"))
@@ -96,6 +96,7 @@ def missing_coverage(regions: DataFrame, notes: DataFrame, pitch: DataFrame, p:
     r = r.join(inside, [*REC, "start_sec"], "left")
     r = asof_join(r.withColumn("at", F.col("start_sec")), ends, REC, "at", ["before_end", "before_id"])
     r = asof_join(r.withColumn("at", F.col("end_sec")), starts, REC, "at", ["next_start", "next_id"], forward=True)
+    r = staged(r)
     mid = r.select(*REC, "start_sec", ((F.col("start_sec") + F.col("end_sec")) * 0.5).alias("mid"))
     edges = slim.select(*REC, "note_id", "pitch_midi", "start_sec", "end_sec", F.explode(F.array("start_sec", "end_sec")).alias("edge"))
     near = band_join(mid, edges, REC, "mid", "edge", p.context).groupBy(*REC, "start_sec").agg(F.min(F.struct(F.round(F.abs(F.col("r_edge") - F.col("mid")), 9).alias("d"), F.col("r_start_sec").alias("s"), F.col("r_end_sec").alias("e"), F.col("r_note_id").alias("id"), F.col("r_pitch_midi").alias("pitch"))).alias("n"))
@@ -139,7 +140,7 @@ def overhangs(notes: DataFrame, regions: DataFrame, frames: DataFrame, pitch: Da
     best = best.groupBy(*REC, "note_id", "start_sec", "end_sec").agg(F.min(F.struct((-F.round(F.least("end_sec", "r_end_sec") - F.greatest("start_sec", "r_start_sec"), 9)).alias("o"), F.col("r_start_sec").alias("s"), F.col("r_end_sec").alias("e"))).alias("b"))
     o = best.withColumn("region_end", F.col("b.e")).where(F.round(F.col("end_sec") - F.col("region_end"), 9) >= p.overhang_min).withColumn("cand", F.least(F.col("end_sec"), F.col("region_end") + p.tail_padding)).drop("b")
     starts = n.select(*REC, F.col("start_sec").alias("at"), F.col("start_sec").alias("next_start")).distinct()
-    o = asof_join(o.withColumn("at", F.col("end_sec")), starts, REC, "at", ["next_start"], forward=True).drop("at")
+    o = staged(asof_join(o.withColumn("at", F.col("end_sec")), starts, REC, "at", ["next_start"], forward=True).drop("at"))
     gap = F.round(F.col("next_start") - F.col("end_sec"), 9)
     bridge = o.where(gap > 0).select(*REC, "note_id", F.col("end_sec").alias("start_sec"), F.col("next_start").alias("end_sec"))
     bridged = interval_join(bridge, r, REC, p.bucket).select(*REC, "note_id").distinct().withColumn("bridged", F.lit(True))
@@ -178,11 +179,10 @@ def splits(notes: DataFrame, frames: DataFrame, pitch: DataFrame, p: Repair) ->
         return n.select(*REC, "note_id", a.alias("start_sec"), b.alias("end_sec"))
 
     inner = window(F.col("a"), F.col("b"))
-    best = overlap_best(inner, points, REC, "note_id", "v", True, p.bucket).select(*REC, "note_id", F.struct((-F.col("v")).alias("v"), F.col("frame_index").alias("i"), F.col("at").alias("t")).alias("k"))
-    peak = best.join(overlap_stats(inner, points, REC, "note_id", ["v"], True, p.bucket).select(*REC, "note_id", F.col("avg_v").alias("mean")), [*REC, "note_id"])
-    n = n.join(peak, [*REC, "note_id"]).withColumns({"onset": -F.col("k.v"), "t": F.col("k.t")}).drop("k").where(F.col("onset") >= F.greatest(F.lit(1e-6), F.col("mean") * p.split_onset_ratio))
+    peak = overlap_best(inner, points, REC, "note_id", "v", True, p.bucket).select(*REC, "note_id", F.col("v").alias("onset"), F.col("at").alias("t"), F.col("avg_v").alias("mean"))
+    n = staged(n.join(peak, [*REC, "note_id"]).where(F.col("onset") >= F.greatest(F.lit(1e-6), F.col("mean") * p.split_onset_ratio)))
     valley = overlap_stats(window(F.greatest("s", F.col("t") - p.split_back), F.col("t")), points, REC, "note_id", ["v"], True, p.bucket).select(*REC, "note_id", F.col("avg_v").alias("valley"))
-    n = n.join(valley, [*REC, "note_id"], "left").withColumn("valley", F.coalesce("valley", F.lit(0.0))).where(F.round("valley", 9) <= F.greatest(F.lit(1e-6), F.round(F.col("onset") * p.split_valley, 9)))
+    n = staged(n.join(valley, [*REC, "note_id"], "left").withColumn("valley", F.coalesce("valley", F.lit(0.0))).where(F.round("valley", 9) <= F.greatest(F.lit(1e-6), F.round(F.col("onset") * p.split_valley, 9))))
     tones = pitch.where("voiced").select(*REC, "start_sec", "end_sec", "frame_index", F.rint(E.hz_to_midi(F.col("f0_hz"))).cast("int").alias("pm"), F.lit(1.0).alias("one"))
 
     def dominant(a: Column, b: Column, out: str) -> DataFrame:
@@ -222,7 +222,7 @@ def close_and_trim(notes: DataFrame, regions: DataFrame, p: Repair) -> DataFrame
 def repair(notes: DataFrame, regions: DataFrame, frames: DataFrame, pitch: DataFrame, p: Repair) -> DataFrame:
     """M5: notes (recording_id, note_id, pitch_midi, start_sec, end_sec) after all phases, with what each phase did.
 
-    Each phase reads the notes several times, so they are staged between phases.
+    Each phase reads the notes several times, so they are staged between phases, as is what a phase reads again inside.
     """
     n = staged(apply_coverage(notes, missing_coverage(regions, notes, pitch, p)))
     n = staged(apply_overhangs(n, overhangs(n, regions, frames, pitch, p)))
@@ -236,8 +236,16 @@ def dominant_pitch(notes: DataFrame, pitch: DataFrame, bucket: float) -> DataFra
     return overlap_mode(notes.select(*REC, "note_id", "start_sec", "end_sec"), f, REC, "note_id", "pm", "confidence", bucket).select(*REC, "note_id", F.col("pm").alias("expected"))
 
 
-def error_regions(notes: DataFrame, regions: DataFrame, pitch: DataFrame, bucket: float = 4.0) -> DataFrame:
-    """(recording_id, kind, start_sec, end_sec, severity, note_id) of gaps in coverage, overhangs, micro gaps and wrong pitches."""
+def heard(notes: DataFrame, pitch: DataFrame, bucket: float = 4.0) -> DataFrame:
+    """Notes that have a dominant pitch with it as expected."""
+    return notes.select(*REC, "note_id", "pitch_midi", "start_sec", "end_sec").join(dominant_pitch(notes, pitch, bucket), [*REC, "note_id"])
+
+
+def error_regions(notes: DataFrame, regions: DataFrame, pitch: DataFrame, bucket: float = 4.0, known: DataFrame | None = None) -> DataFrame:
+    """(recording_id, kind, start_sec, end_sec, severity, note_id) of gaps in coverage, overhangs, micro gaps and wrong pitches.
+
+    known: heard(), where the caller has it.
+    """
     n = notes.select(*REC, "note_id", "pitch_midi", "start_sec", "end_sec")
     audio, midi = merge_spans(regions, REC), merge_spans(n, REC)
     length = F.greatest(F.lit(1e-9), F.col("end_sec") - F.col("start_sec"))
@@ -248,25 +256,32 @@ def error_regions(notes: DataFrame, regions: DataFrame, pitch: DataFrame, bucket
     nx = F.lead("start_sec").over(Window.partitionBy(*REC).orderBy("start_sec", "end_sec", "note_id"))
     micro = n.withColumn("ns", nx).withColumn("g", F.round(F.col("ns") - F.col("end_sec"), 9)).where("g > 0 and g <= 0.06")
     micro = micro.select(*REC, F.lit("MICRO_GAP").alias("kind"), F.col("end_sec").alias("start_sec"), F.col("ns").alias("end_sec"), F.least(F.lit(1.0), F.col("g") / 0.06).alias("severity"), "note_id")
-    wrong = n.join(dominant_pitch(n, pitch, bucket), [*REC, "note_id"]).where(F.abs(F.col("pitch_midi") - F.col("expected")) > 1)
+    wrong = (known if known is not None else heard(n, pitch, bucket)).where(F.abs(F.col("pitch_midi") - F.col("expected")) > 1)
     wrong = wrong.select(*REC, F.lit("PITCH_MISMATCH").alias("kind"), "start_sec", "end_sec", F.lit(0.6).alias("severity"), "note_id")
     return gap.unionByName(over).unionByName(micro).unionByName(wrong)
 
 
 def score(notes: DataFrame, regions: DataFrame, pitch: DataFrame, bucket: float = 4.0) -> DataFrame:
     """Coverage, overhang, continuity, pitch_consistency, total and errors of each recording that has notes or regions."""
+    return assess(notes, regions, pitch, bucket)[0]
+
+
+def assess(notes: DataFrame, regions: DataFrame, pitch: DataFrame, bucket: float = 4.0) -> tuple[DataFrame, DataFrame]:
+    """score() and the error_regions() that it counts, staged, with the dominant pitches searched once for both."""
+    known = staged(heard(notes, pitch, bucket))
+    errors = staged(error_regions(notes, regions, pitch, bucket, known))
     audio, midi = merge_spans(regions, REC), merge_spans(notes, REC)
     length = F.col("end_sec") - F.col("start_sec")
     a = covered(audio, midi, bucket).groupBy(*REC).agg(F.sum(length).alias("audio"), F.sum("covered").alias("both"))
     m = midi.groupBy(*REC).agg(F.sum(length).alias("midi"))
-    found = error_regions(notes, regions, pitch, bucket).groupBy(*REC).agg(F.count(F.lit(1)).alias("errors"), F.count_if(F.col("kind") == "MICRO_GAP").alias("micro"))
-    t = notes.join(dominant_pitch(notes, pitch, bucket), [*REC, "note_id"]).groupBy(*REC).agg(F.avg((F.abs(F.col("pitch_midi") - F.col("expected")) <= 1).cast("double")).alias("pitch"))
+    found = errors.groupBy(*REC).agg(F.count(F.lit(1)).alias("errors"), F.count_if(F.col("kind") == "MICRO_GAP").alias("micro"))
+    t = known.groupBy(*REC).agg(F.avg((F.abs(F.col("pitch_midi") - F.col("expected")) <= 1).cast("double")).alias("pitch"))
     s = a.join(m, REC, "full").join(found, REC, "left").join(t, REC, "left").na.fill(0.0, ["audio", "both", "midi"]).na.fill(0, ["errors", "micro"])
     cover = F.when(F.col("audio") <= 1e-9, 1.0).otherwise(E.clip(F.col("both") / F.col("audio"), 0.0, 1.0))
     hang = 1 - F.when(F.col("midi") <= 1e-9, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("midi") - F.col("both")) / F.col("midi")))
     flow = F.greatest(F.lit(0.0), 1 - F.least(F.lit(1.0), F.col("micro") * 0.06))
     s = s.select(*REC, cover.alias("coverage"), hang.alias("overhang"), flow.alias("continuity"), F.coalesce("pitch", F.lit(0.9)).alias("pitch_consistency"), "errors")
-    return s.withColumn("total", 0.35 * F.col("coverage") + 0.20 * F.col("overhang") + 0.30 * F.col("continuity") + 0.15 * F.col("pitch_consistency"))
+    return s.withColumn("total", 0.35 * F.col("coverage") + 0.20 * F.col("overhang") + 0.30 * F.col("continuity") + 0.15 * F.col("pitch_consistency")), errors
 
 
 def fingerprint(start: Column, end: Column) -> Column:
@@ -316,28 +331,33 @@ def iterate(notes: DataFrame, regions: DataFrame, frames: DataFrame, pitch: Data
     """M6: (notes of the best pass, summary rows): passes with their profiles, each recording by itself.
 
     A pass is accepted where the total score rises; from the second pass on only changes inside error regions count.
-    A recording stops after a gain below min_improvement or without errors. State is checkpointed after each pass.
+    A recording stops after a gain below min_improvement or without errors. State is checkpointed after each pass, scores
+    and errors of the notes as they stand with it: those of an accepted candidate are the next pass's own.
     """
     core = ["recording_id", "note_id", "pitch_midi", "start_sec", "end_sec"]
     regions, pitch, frames = staged(regions), staged(pitch), staged(frames)
     current = staged(notes.select(*core))
-    open_, summary = staged(current.select(*REC).distinct().withColumn("going", F.lit(True))), None
+    open_, summary = staged(current.select(*REC).distinct()), None
+    totals, errors = assess(current, regions.join(open_, REC, "left_semi"), pitch)
+    totals = staged(totals.select(*REC, F.col("total").alias("was")))
     for i in range(1, passes + 1):
         q = profile(pass_profile(i) if i < passes else "conservative", p)
-        live = staged(current.join(open_.where("going").select(*REC), REC, "left_semi"))
-        was = score(live, regions.join(live.select(*REC).distinct(), REC, "left_semi"), pitch).select(*REC, F.col("total").alias("was"))
-        cand = staged(repair(live, regions.join(live.select(*REC).distinct(), REC, "left_semi"), frames, pitch, q).select(*core))
+        live, audio = staged(current.join(open_, REC, "left_semi")), staged(regions.join(open_, REC, "left_semi"))
+        cand = repair(live, audio, frames, pitch, q).select(*core)
         # Names of a later pass must not meet those of an earlier one.
         fresh = F.col("note_id").rlike("^repair_(missing|split)_[0-9]{6}$")
         cand = cand.join(live.select(*REC, "note_id").withColumn("__old", F.lit(True)), [*REC, "note_id"], "left").withColumn("note_id", F.when(fresh & F.col("__old").isNull(), F.concat("note_id", F.lit(f"_p{i}"))).otherwise(F.col("note_id"))).drop("__old")
         if i > 1:
-            cand = restrict(live, cand, error_regions(live, regions, pitch)).select(*core)
+            cand = restrict(live, staged(cand), errors.join(open_, REC, "left_semi")).select(*core)
         cand = staged(cand)
-        now = score(cand, regions.join(live.select(*REC).distinct(), REC, "left_semi"), pitch).select(*REC, F.col("total").alias("now"), "errors")
-        s = staged(was.join(now, REC).withColumn("accepted", F.col("now") > F.col("was")).withColumn("iteration", F.lit(i)))
+        now, found = assess(cand, audio, pitch)
+        s = staged(totals.join(open_, REC, "left_semi").join(now.select(*REC, F.col("total").alias("now"), "errors"), REC).withColumn("accepted", F.col("now") > F.col("was")).withColumn("iteration", F.lit(i)))
         summary = s if summary is None else summary.unionByName(s)
         good = s.where("accepted").select(*REC)
         current = staged(current.join(good, REC, "left_anti").unionByName(cand.join(good, REC, "left_semi")))
-        stop = F.col("accepted") & ((F.col("now") - F.col("was") < min_improvement) | (F.col("errors") == 0))
-        open_ = staged(open_.join(s.select(*REC, stop.alias("stop")), REC, "left").select(*REC, (F.col("going") & ~F.coalesce("stop", F.lit(False))).alias("going")))
+        if i < passes:
+            totals = staged(totals.join(good, REC, "left_anti").unionByName(s.where("accepted").select(*REC, F.col("now").alias("was"))))
+            errors = staged(errors.join(good, REC, "left_anti").unionByName(found.join(good, REC, "left_semi")))
+            stop = F.col("accepted") & ((F.col("now") - F.col("was") < min_improvement) | (F.col("errors") == 0))
+            open_ = staged(open_.join(s.where(stop).select(*REC), REC, "left_anti"))
     return current, summary

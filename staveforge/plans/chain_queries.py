@@ -326,10 +326,11 @@ _STEM = _SEL + _ACTIVE + RQ._phase1("sel") + RQ._apply1("sel") + RQ._phase2("n1"
 
 def _stem(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
     """Plan, selected notes, repaired notes, regions and pitch frames, staged."""
+    frames = RQ.staged_frames(t)
     plan = R.staged(V.plan(_valid(t), allow_delete=True).select(*REC, "note_id", "confidence", "plan_action"))
     sel = t.notes.join(plan.where(F.col("plan_action").isin("KEEP", "REVIEW")).select(*REC, "note_id"), [*REC, "note_id"], "left_semi")
-    sel, regions, frames, pitch = (R.staged(x) for x in (sel.select(*REC, "note_id", "pitch_midi", "start_sec", "end_sec"), _regions(t), t.frames, t.pitch_frames))
-    return plan, sel, R.staged(R.repair(sel, regions, frames, pitch, RQ.P)), regions, pitch
+    sel, regions = R.staged(sel.select(*REC, "note_id", "pitch_midi", "start_sec", "end_sec")), R.staged(_regions(t))
+    return plan, sel, R.staged(R.repair(sel, regions, frames, t.pitch_frames, RQ.P)), regions, t.pitch_frames
 
 
 @query("m26_process_stem", sql(_STEM + RQ._errors("sel", "b") + RQ._score("sel", "b") + RQ._errors("n5", "a") + RQ._score("n5", "a") + """, pc AS (SELECT recording_id, count(*) AS notes, count(*) FILTER (a = 'KEEP') AS kept, count(*) FILTER (a = 'REVIEW') AS review FROM plan GROUP BY 1), rc AS (SELECT recording_id, count(*) AS repaired_notes FROM n5 GROUP BY 1)

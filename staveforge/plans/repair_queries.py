@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from staveforge.operators import repair as R
 from staveforge.sources.adapters import Tables
+from staveforge.sources.shared import staged_by
 
 from .frame_queries import _ACTIVE, _regions
 from .registry import query, sql
@@ -100,7 +101,14 @@ _TIMES = "round(start_sec, 9) AS start_sec, round(end_sec, 9) AS end_sec"
 
 def _inputs(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Notes, regions, frames and pitch frames, staged because every phase reads them."""
-    return tuple(R.staged(x) for x in (t.notes.select(*REC, "note_id", "pitch_midi", "start_sec", "end_sec"), _regions(t), t.frames, t.pitch_frames))
+    frames = staged_frames(t)
+    return R.staged(t.notes.select(*REC, "note_id", "pitch_midi", "start_sec", "end_sec")), R.staged(_regions(t)), frames, t.pitch_frames
+
+
+def staged_frames(t: Tables) -> DataFrame:
+    """The frames, staged by recording in place of t's own, so that one exchange and one sort of the events serve regions, pitch frames and all windows."""
+    t.frames = staged_by(t.frames, REC)
+    return t.frames
 
 
 def _rounded(df: DataFrame, *cols: str) -> DataFrame:

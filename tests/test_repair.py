@@ -37,3 +37,30 @@ def test_passes(spark):
             total = now if accepted else was
             stopped = accepted and (now - was < 0.005 or errors == 0)
         assert total > before[rec] and abs(after[rec] - total) < 1e-9
+
+
+def test_a_score_searches_dominant_pitches_once(spark, monkeypatch):
+    notes, regions, _, pitch = tables(spark)
+    calls, search = [], R.dominant_pitch
+    monkeypatch.setattr(R, "dominant_pitch", lambda *a: calls.append(1) or search(*a))
+    assert R.score(notes, regions, pitch).count() == 2 and len(calls) == 1
+
+
+def test_inputs_order_the_events_once(spark):
+    """Regions and pitch frames come from the staged frames, not from windows over all events of their own."""
+    from staveforge.plans import repair_queries as RQ
+    from staveforge.sources.adapters import Tables
+
+    _, regions, frames, pitch = RQ._inputs(Tables(spark, "/root/testdata/sf0.001"))
+    plans = [x._jdf.queryExecution().optimizedPlan().toString() for x in (regions, frames, pitch)]
+    assert not any("Window" in p or "events" in p for p in plans)
+    assert pitch.count() == frames.count() > 0
+
+
+def test_best_row_comes_with_the_average_of_all(spark):
+    from staveforge.operators.windows import overlap_best
+
+    f = spark.createDataFrame([("a", i, i * 1.0, i * 1.0, v) for i, v in enumerate([0.25, 1.0, 0.25, 0.5, 9.0, None])], f"{REC}, frame_index int, start_sec double, end_sec double, v double")
+    n = spark.createDataFrame([("a", "n", 0.0, 3.5)], f"{REC}, note_id string, start_sec double, end_sec double")
+    r = overlap_best(n, f.where("v is not null"), ["recording_id"], "note_id", "v", True, 2.0).collect()
+    assert [(x.v, x.frame_index, x.at, x.avg_v) for x in r] == [(1.0, 1, 1.0, 0.5)]

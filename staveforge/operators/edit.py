@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from .windows import by_bucket
+
 REC = ["recording_id"]
 
 
@@ -101,3 +105,36 @@ def bar_beat(df: DataFrame, signatures: DataFrame, ticks_per_beat: int) -> DataF
     j = df.join(F.broadcast(s.withColumnRenamed("tick", "__tick")), (F.col("start_tick") >= F.col("__tick")) & (F.col("__next").isNull() | (F.col("start_tick") < F.col("__next"))))
     at = F.col("start_tick") - F.col("__tick")
     return j.withColumns({"bar": (F.col("__first") + F.floor(at / F.col("__bar")) + 1).cast("long"), "beat": (F.floor((at % F.col("__bar")) / F.col("__beat")) + 1).cast("long")}).select(*df.columns, "bar", "beat")
+
+
+def first_clash(notes: DataFrame, base: DataFrame, near: float = 0.02, share: float = 0.65, width: float = 4.0) -> DataFrame:
+    """(recording_id, note_id, reason) of notes that the base repeats or covers, by the first base note, by start and id, that does.
+
+    duplicate: the pitches are equal and the starts at most near apart; collision: at least share of the shorter note is
+    shared. Both need an overlap. A note looks at the base notes around it in order, some at a time, until one clashes.
+    """
+
+    def run(n: pd.DataFrame, f: pd.DataFrame, bucket: int) -> pd.DataFrame:
+        f = f.sort_values(["start_sec", "note_id"])
+        s, e, p = (f[c].to_numpy() for c in ("start_sec", "end_sec", "pitch_midi"))
+        t0, t1, q = (n[c].to_numpy() for c in ("start_sec", "end_sec", "pitch_midi"))
+        at, stop = np.searchsorted(s, t0 - (e - s).max() - 1e-6), np.searchsorted(s, t1)
+        hit, twin, row, block = np.full(len(n), -1), np.zeros(len(n), bool), np.flatnonzero(at < stop), np.arange(16)
+        while len(row):
+            j = at[row][:, None] + block
+            inside, j = j < stop[row][:, None], np.minimum(j, len(f) - 1)
+            a, b = t0[row][:, None], t1[row][:, None]
+            inside &= (e[j] > a) & (s[j] < b)
+            same = inside & (p[j] == q[row][:, None]) & (np.abs(a - s[j]) <= near)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                found = same | (inside & ((np.minimum(b, e[j]) - np.maximum(a, s[j])) / np.minimum(b - a, e[j] - s[j]) >= share))
+            k, some = found.argmax(axis=1), found.any(axis=1)
+            hit[row[some]], twin[row[some]] = j[some, k[some]], same[some, k[some]]
+            at[row] += len(block)
+            row = row[~some & (at[row] < stop[row])]
+        i = np.flatnonzero(hit >= 0)
+        return pd.DataFrame({"note_id": n["note_id"].to_numpy()[i], "s": s[hit[i]], "id": f["note_id"].to_numpy()[hit[i]], "reason": np.where(twin[i], "duplicate", "collision")})
+
+    cols = ["recording_id", "note_id", "pitch_midi", "start_sec", "end_sec"]
+    part = by_bucket(notes.select(*cols), base.select(*cols), ["recording_id"], run, "note_id string, s double, id string, reason string", width)
+    return part.groupBy("recording_id", "note_id").agg(F.min_by("reason", F.struct("s", "id")).alias("reason"))

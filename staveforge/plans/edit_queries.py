@@ -132,10 +132,7 @@ def j23(t: Tables) -> DataFrame:
     """Even pitches against odd ones: the first base note that a proposal repeats or covers."""
     a = t.notes.where("pitch_midi % 2 = 0").select(*REC, "note_id", "pitch_midi", "start_sec", "end_sec")
     b = t.notes.where("pitch_midi % 2 = 1").select(*REC, "note_id", "start_sec", "end_sec", (F.col("pitch_midi") - 1).alias("pitch_midi"))
-    p = interval_join(a, b, REC, 0.5)
-    shared = (F.least("end_sec", "r_end_sec") - F.greatest("start_sec", "r_start_sec")) / F.least(F.col("end_sec") - F.col("start_sec"), F.col("r_end_sec") - F.col("r_start_sec"))
-    r = F.when((F.col("pitch_midi") == F.col("r_pitch_midi")) & (F.abs(F.col("start_sec") - F.col("r_start_sec")) <= 0.02), "duplicate").when(shared >= 0.65, "collision")
-    return p.withColumn("reason", r).where("reason is not null").groupBy(*REC, "note_id").agg(F.min_by("reason", F.struct("r_start_sec", "r_note_id")).alias("reason"))
+    return ED.first_clash(a, b)
 
 
 _PRI = "CASE a WHEN 'KEEP' THEN 4 WHEN 'REVIEW' THEN 3 WHEN 'MUTE' THEN 2 ELSE 1 END"

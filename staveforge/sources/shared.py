@@ -39,14 +39,20 @@ def dealt(df: DataFrame, by: list[str]) -> DataFrame:
 
 @contextmanager
 def copartitioned(spark: SparkSession) -> Iterator[None]:
-    """Plans made inside join tables that lie by some of the join's keys as they lie; Spark else exchanges both sides by all keys."""
-    name = "spark.sql.requireAllClusterKeysForCoPartition"
-    before = spark.conf.get(name, "true")
-    spark.conf.set(name, "false")
+    """Plans made inside join tables that lie by some of the join's keys as they lie; Spark else exchanges both sides by all keys.
+
+    Nor are such tables broadcast: Spark judges them by their compressed files, and takes rows that an explode makes for as
+    many as before, so the driver would hold many times what the threshold allows.
+    """
+    least = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    before = {name: spark.conf.get(name, None) for name in least}
+    for name, value in least.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def staged_by(df: DataFrame, by: list[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 
 from staveforge.functions import exprs as E
 from staveforge.operators import edit as ED
-from staveforge.operators.timejoin import interval_join
+from staveforge.operators.windows import overlap_stats
 from staveforge.sources.adapters import Tables
 
 from .note_queries import EVIDENCE, ONSET, VALID, _PLAN, _valid
@@ -195,6 +195,6 @@ def j13(t: Tables) -> DataFrame:
 @query("j30_activity_ratio", sql(" SELECT n.recording_id, n.note_id, round(avg(CASE WHEN coalesce(CASE WHEN f.k % 9 = 0 THEN NULL ELSE f.is_silent END, false) THEN 0.0 ELSE 1.0 END), 9) AS active_ratio FROM notes n JOIN frames f ON f.recording_id = n.recording_id AND f.end_sec > n.start_sec AND f.start_sec < n.end_sec GROUP BY ALL", "notes", "frames"))
 def j30(t: Tables) -> DataFrame:
     """A frame whose silence flag is missing counts as active."""
-    f = t.frames.select(*REC, "start_sec", "end_sec", F.when(F.col("k") % 9 != 0, F.col("is_silent")).alias("is_silent"))
-    p = interval_join(t.notes.select(*REC, "note_id", "start_sec", "end_sec"), f, REC, 0.5)
-    return p.groupBy(*REC, "note_id").agg(F.round(F.avg(F.when(F.coalesce("r_is_silent", F.lit(False)), 0.0).otherwise(1.0)), 9).alias("active_ratio"))
+    silent = F.when(F.col("k") % 9 == 0, F.lit(None)).otherwise(F.col("is_silent"))
+    f = t.frames.select(*REC, "start_sec", "end_sec", F.when(F.coalesce(silent, F.lit(False)), 0.0).otherwise(1.0).alias("active"))
+    return overlap_stats(t.notes, f, REC, "note_id", ["active"]).select(*REC, "note_id", F.round("avg_active", 9).alias("active_ratio"))

@@ -103,3 +103,19 @@ def test_both_sides_may_come_from_one_table(spark):
 
     sf = "/root/testdata/sf0.001"
     assert QUERIES["m1_align_notes"](spark, sf).count() == QUERIES["a3_note_evidence"](spark, sf).count()
+
+
+@pytest.mark.parametrize("seed, overlapping, closed", [(5, False, False), (6, True, False), (7, False, True)])
+def test_runs_of_frames_hold_each_pair_once(spark, seed, overlapping, closed):
+    notes, frames, n, f = tables(spark, seed, 60, 80, overlapping)
+    got = sorted((r.note_id, i) for r in W.overlap_runs(n, f, ["recording_id"], "note_id", closed).collect() for i in range(r.first, r.last + 1))
+    over = (lambda x, s, e: x[3] >= s and x[2] <= e) if closed else (lambda x, s, e: x[3] > s and x[2] < e)
+    assert got == sorted((k, x[1]) for _, k, s, e, _ in notes for x in frames if over(x, s, e))
+
+
+@pytest.mark.parametrize("name", ["j30_activity_ratio", "j5_interval_overlap"])
+def test_no_join_pairs_notes_with_frames(spark, name):
+    from staveforge.plans import catalog
+
+    plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "FlatMapCoGroups" in plan

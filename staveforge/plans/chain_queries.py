@@ -20,7 +20,7 @@ from . import drum_queries as DQ
 from . import repair_queries as RQ
 from .drum_queries import _SCORE, _scored
 from .frame_queries import _ACTIVE, _regions
-from .note_queries import _PLAN, EVIDENCE, ONSET, VALID, V, _valid
+from .note_queries import _PLAN, EVIDENCE, MIN_RMS, ONSET, VALID, V, _valid
 from .pattern_queries import _COARSE, _coarse
 from .registry import query, sql
 
@@ -327,7 +327,7 @@ _STEM = _SEL + _ACTIVE + RQ._phase1("sel") + RQ._apply1("sel") + RQ._phase2("n1"
 def _stem(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
     """Plan, selected notes, repaired notes, regions and pitch frames, staged."""
     frames = RQ.staged_frames(t)
-    plan = R.staged(V.plan(_valid(t), allow_delete=True).select(*REC, "note_id", "confidence", "plan_action"))
+    plan = R.staged(V.plan(_valid(t), allow_delete=True).select(*REC, "note_id", "confidence", "plan_action", "onset_norm", "max_rms", "sustained"))
     sel = t.notes.join(plan.where(F.col("plan_action").isin("KEEP", "REVIEW")).select(*REC, "note_id"), [*REC, "note_id"], "left_semi")
     sel, regions = R.staged(sel.select(*REC, "note_id", "pitch_midi", "start_sec", "end_sec")), R.staged(_regions(t))
     return plan, sel, R.staged(R.repair(sel, regions, frames, t.pitch_frames, RQ.P)), regions, t.pitch_frames
@@ -350,6 +350,7 @@ _QA = """, qa AS (SELECT p.recording_id, p.note_id, p.a AS plan_action, round(p.
 
 def _qa(t: Tables) -> DataFrame:
     plan, _, out, _, _ = _stem(t)
+    plan = V.settled(plan, t.notes, t.frames, 6, MIN_RMS)
     n = t.notes.select(*REC, "note_id", F.col("start_sec").alias("s0"), F.col("end_sec").alias("e0"))
     j = plan.join(n, [*REC, "note_id"]).join(out, [*REC, "note_id"], "left")
     shift = lambda a, b: F.rint((F.col(a) - F.col(b)) * 1000).cast("long")

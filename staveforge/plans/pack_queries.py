@@ -164,7 +164,7 @@ def x56(t: Tables) -> DataFrame:
 
 @query("j29_notes_in_region", sql(_RUNS + " SELECT r.recording_id, round(r.start_sec, 6) AS region_start, n.note_id FROM runs r JOIN notes n ON n.recording_id = r.recording_id AND n.start_sec < r.end_sec AND n.end_sec > r.start_sec", "frames", "notes"))
 def j29(t: Tables) -> DataFrame:
-    return interval_join(_runs(t), t.notes.select(*REC, "note_id", "start_sec", "end_sec"), REC, 2.0).select(*REC, F.round("start_sec", 6).alias("region_start"), F.col("r_note_id").alias("note_id"))
+    return interval_join(_runs(t), t.notes.select(*REC, "note_id", "start_sec", "end_sec"), REC, 0.5).select(*REC, F.round("start_sec", 6).alias("region_start"), F.col("r_note_id").alias("note_id"))
 
 
 @query("f32_f33_f34_text", "SELECT doc_id, substr(regexp_replace(regexp_replace(regexp_replace(source || ' / <' || coalesce(lang, '') || '> & \"x\"', '&', '&amp;', 'g'), '<', '&lt;', 'g'), '>', '&gt;', 'g'), 1) AS html, '\"' || replace(source || ' \"' || coalesce(lang, ''), '\"', '\"\"') || '\"' AS csv, regexp_replace(source || ' /a:' || coalesce(lang, ''), '[^A-Za-z0-9._-]+', '_', 'g') AS file_name, round(n_chars / 7.0, 3) AS short FROM documents")
